@@ -161,20 +161,24 @@ def nearest_node(points: DataFrame, nodes: DataFrame, radius: float) -> DataFram
     )
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0) -> DataFrame:
+def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0, by: list[str] | None = None) -> DataFrame:
     """Nearest edge of every point, with the foot point on it; lowest edge id on ties.
 
     points (point_id, x, y), edges (edge_id, pts) →
     point_id, x, y, edge_id, seg_no, t, qx, qy, dist
 
+    With `by`, a point only looks at edges that agree with it in these columns.
+
     A point looks at the 3 × 3 cells around it. A hit not farther than one cell width cannot be beaten
     from outside, so it is final; the other points try again with cells twice as wide.
     """
-    segs = pin_table(segments(edges, ["edge_id"]))
+    by = by or []
+    ids = [*by, "point_id"]
+    segs = pin_table(segments(edges, [*by, "edge_id"]))
     span = segs.agg(
         F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))
     ).first()
-    waiting = points.filter("x IS NOT NULL AND y IS NOT NULL").select("point_id", "x", "y")
+    waiting = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*ids, "x", "y")
     if span[0] is None:
         return _no_hits(waiting)
     ends = waiting.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
@@ -185,13 +189,13 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0) -> Dat
     columns = ["edge_id", "seg_no", "t", "qx", "qy", "dist"]
     while True:
         seen = waiting.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), size, size)))
-        hits = with_foot(seen.join(tile_segments(segs, size), CELL), "x", "y")
-        best = hits.groupBy("point_id").agg(F.min(F.struct("dist", "edge_id", "seg_no", "t", "qx", "qy")).alias("_b"))
+        hits = with_foot(seen.join(tile_segments(segs, size), [*by, *CELL]), "x", "y")
+        best = hits.groupBy(*ids).agg(F.min(F.struct("dist", "edge_id", "seg_no", "t", "qx", "qy")).alias("_b"))
         last = size > widest
         settled = F.lit(True) if last else F.coalesce(F.col("_b.dist") <= size, F.lit(False))
-        found = pin(waiting.join(best, "point_id", "left").withColumn("_ok", settled))
-        done.append(found.filter("_ok").select("point_id", "x", "y", *[F.col(f"_b.{c}").alias(c) for c in columns]))
-        waiting = found.filter("NOT _ok").select("point_id", "x", "y")
+        found = pin(waiting.join(best, ids, "left").withColumn("_ok", settled))
+        done.append(found.filter("_ok").select(*ids, "x", "y", *[F.col(f"_b.{c}").alias(c) for c in columns]))
+        waiting = found.filter("NOT _ok").select(*ids, "x", "y")
         if last or waiting.isEmpty():
             return reduce(DataFrame.unionByName, done)
         size *= 2
