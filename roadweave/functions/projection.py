@@ -78,6 +78,10 @@ _TO_LONLAT = {4326: lambda p: p, 3857: web_to_lonlat, 25832: utm_to_lonlat}
 _FROM_LONLAT = {4326: lambda p: p, 25832: lonlat_to_utm}
 
 
+def _chain(first, second):
+    return lambda p: second(first(p))
+
+
 def reproject(df: DataFrame, to_srid: int = 25832, pts: str = "pts", srid: str = "srid") -> DataFrame:
     """Bring every line to one coordinate system; the srid column tells where it comes from.
 
@@ -93,7 +97,7 @@ def reproject(df: DataFrame, to_srid: int = 25832, pts: str = "pts", srid: str =
         if source == to_srid:
             continue
         known.append(source)
-        step = F.transform(line, lambda p, s=start: finish(s(p)))
+        step = F.transform(line, _chain(start, finish))
         moved = F.when(code == source, step) if moved is None else moved.when(code == source, step)
     return df.withColumns(
         {pts: moved.otherwise(line), srid: F.when(code.isin(known), F.lit(to_srid)).otherwise(code)}
