@@ -59,9 +59,9 @@ def _with_box(df: DataFrame, boxes: DataFrame, purpose: str) -> DataFrame:
 
 
 def touching(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
-    """Edges whose envelope meets the box; rows without geometry stay."""
+    """Edges whose envelope meets the box; rows without geometry stay. A box with nothing left meets none."""
     hit = overlaps(bounds(F.col("pts")), _columns("_"))
-    return _with_box(edges, boxes, purpose).filter(F.coalesce(hit, F.lit(True))).drop(*[f"_{n}" for n in BOX])
+    return _with_box(edges, boxes, purpose).filter(F.coalesce(hit, F.col("pts").isNull())).drop(*[f"_{n}" for n in BOX])
 
 
 def clip(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
@@ -81,4 +81,5 @@ def filter_points(points: DataFrame, boxes: DataFrame, purpose: str = "address_b
         & (F.col("y") >= F.col("_ymin"))
         & (F.col("y") <= F.col("_ymax"))
     )
-    return _with_box(points, boxes, purpose).filter(F.coalesce(hit, F.lit(True))).drop(*[f"_{n}" for n in BOX])
+    nowhere = F.col("x").isNull() | F.col("y").isNull()
+    return _with_box(points, boxes, purpose).filter(F.coalesce(hit, nowhere)).drop(*[f"_{n}" for n in BOX])

@@ -401,7 +401,11 @@ s AS (SELECT *, 1 + sum((uses > 1 AND rn > 1)::INT) OVER (PARTITION BY way ORDER
     out["weights_community"] = _q(EDGES, f"SELECT edge_id, {_LEN} AS distance, {_SEC('w')} AS weights_car, {_SEC('wr')} AS weights_car_reverse FROM cw")
     out["weights_authority"] = _q(AUTH, f"SELECT edge_id, {_LEN} AS distance, v AS maxspeed, {_SEC('w')} AS weights_car, {_SEC('w')} AS weights_car_reverse FROM aw")
     out["extents"] = _q(AXES + _EXTENT, "SELECT 'authority' AS data_basis, xmin, ymin, xmax, ymax FROM ea UNION ALL SELECT 'community', xmin, ymin, xmax, ymax FROM ec")
-    inset = lambda d, t: f"SELECT {{}}, xmin + {d}, ymin + {d}, xmax - {d}, ymax - {d} FROM {t}"
+
+    def inset(d, t):
+        left = f"(xmin + {d} < xmax - {d} AND ymin + {d} < ymax - {d})"
+        return "SELECT {}, " + ", ".join(f"CASE WHEN {left} THEN {c} END" for c in (f"xmin + {d}", f"ymin + {d}", f"xmax - {d}", f"ymax - {d}")) + f" FROM {t}"
+
     out["boxes_common"] = _q(
         AXES + _EXTENT,
         "SELECT 'outer_bbox' AS purpose, xmin, ymin, xmax, ymax FROM common UNION ALL " + inset(1500, "common").format("'inner_bbox'")
@@ -415,7 +419,7 @@ s AS (SELECT *, 1 + sum((uses > 1 AND rn > 1)::INT) OVER (PARTITION BY way ORDER
     out["bbox_filter"] = _q(
         AXES + _GIVEN + ", " + _ADDR,
         "SELECT 'road' AS kind, edge_id AS id FROM seg, bx WHERE least(x1,x2) <= xmax AND greatest(x1,x2) >= xmin AND least(y1,y2) <= ymax AND greatest(y1,y2) >= ymin"
-        " UNION ALL SELECT 'address', id FROM addr, bx WHERE x BETWEEN xmin + 1000 AND xmax - 1000 AND y BETWEEN ymin + 1000 AND ymax - 1000",
+        " UNION ALL SELECT 'address', id FROM addr, bx WHERE xmin + 1000 < xmax - 1000 AND ymin + 1000 < ymax - 1000 AND x BETWEEN xmin + 1000 AND xmax - 1000 AND y BETWEEN ymin + 1000 AND ymax - 1000",
     )
     out["clip_length"] = _clip()
     out["reproject_4326"] = _utm("SELECT c_custkey AS id, 7.0::DOUBLE + (c_custkey * 37 % 4000) / 1000.0::DOUBLE AS lon, 51.5::DOUBLE + (c_custkey * 91 % 3000) / 1000.0::DOUBLE AS lat FROM customer")

@@ -126,10 +126,8 @@ def segment_ways(points: DataFrame) -> DataFrame:
 def _pos_list(text: Column) -> Column:
     """'x y x y …' → array of points."""
     numbers = F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda s: s != ""), lambda s: s.cast("double"))
-    return F.transform(
-        F.sequence(F.lit(0), F.size(numbers) / 2 - 1),
-        lambda i: F.struct(F.get(numbers, (2 * i).cast("int")).alias("x"), F.get(numbers, (2 * i + 1).cast("int")).alias("y")),
-    )
+    xs, ys = F.filter(numbers, lambda v, i: i % 2 == 0), F.filter(numbers, lambda v, i: i % 2 == 1)
+    return F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
 
 def _feature(spark: SparkSession, path: str, kind: str, fields: str) -> DataFrame:
@@ -147,15 +145,15 @@ def read_authority_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     def axes(kind: str) -> DataFrame:
         raw = _feature(spark, path, kind, axis)
         parts = F.transform("position.Curve.segments.LineStringSegment", lambda s: _pos_list(s["posList"]))
-        pts = F.flatten(parts)
+        joints = F.filter("pts", lambda p, i: (i == 0) | (F.get("pts", i - 1) != p))
         return raw.select(
             F.col("_id").alias("gml_id"),
             F.element_at(F.split("istTeilVon._href", ":"), -1).alias("istTeilVon"),
             F.transform("modellart.AA_Modellart", lambda m: m["advStandardModell"]).alias("advstandardmodell"),
-            F.filter(pts, lambda p, i: (i == 0) | (F.get(pts, i - 1) != p)).alias("pts"),
+            F.flatten(parts).alias("pts"),
             F.lit(UTM32).alias("srid"),
             *AXIS_COLUMNS,
-        )
+        ).withColumn("pts", joints)
 
     street = "_id string, " + ", ".join(f"{c} {t}" for c, t in STREET_COLUMNS.items())
     streets = widen(_feature(spark, path, "AX_Strasse", street), STREET_COLUMNS)
