@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.geometry import BOX, bounds, box_inset, box_intersection, clip_line, overlaps
+from roadweave.session import dense_serial
 
 # fixed values: metres between common extent and road box, and between road box and address box
 ROAD_INSET = 1500.0
@@ -73,6 +74,15 @@ def clip(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> Dat
     )
 
 
+def unique_parts(parts: DataFrame) -> DataFrame:
+    """Give every part beyond the first an edge id of its own, above all others; drops part_no."""
+    first, more = parts.filter("part_no = 1"), parts.filter("part_no > 1")
+    top = parts.agg(F.max("edge_id").alias("_top"))
+    more = dense_serial(more, ["edge_id", "part_no"], "_n").crossJoin(F.broadcast(top))  # one row
+    more = more.withColumn("edge_id", F.col("_top") + F.col("_n")).drop("_top", "_n")
+    return first.unionByName(more).drop("part_no")
+
+
 def filter_points(points: DataFrame, boxes: DataFrame, purpose: str = "address_bbox") -> DataFrame:
     """Points inside the box (border included); points without coordinates stay."""
     hit = (
