@@ -87,13 +87,14 @@ def filter_car_roads(ways: DataFrame) -> DataFrame:
     return rename_tags(ways).filter(is_car_road())
 
 
-def join_segments(ways: DataFrame, segments: DataFrame, order: str = "edge_id") -> DataFrame:
+def join_segments(ways: DataFrame, segments: DataFrame, order: str = "edge_id", tags: list[str] | None = None) -> DataFrame:
     """Geometry of the routable segments with the tags of their way; only ways found in both remain.
 
     Several way rows with one osm_id: the lowest `order` value wins. The choice is a grouped minimum
-    over a struct (partial aggregation before the shuffle), not a window over a whole key.
+    over a struct (partial aggregation before the shuffle), not a window over a whole key. Name the
+    tags needed, if not all are: columns inside a struct are not pruned by the optimizer.
     """
-    tags = [t for t in WAY_TAGS if t in ways.columns]
+    tags = [t for t in (tags or WAY_TAGS) if t in ways.columns]
     one = ways.groupBy("osm_id").agg(F.min_by(F.struct(*tags), F.col(order)).alias("_tags"))
     one = one.select("osm_id", F.col("osm_id").alias("pgsql_osm_id"), "_tags.*")
     geometry = [c for c in segments.columns if c not in tags and c != "pgsql_osm_id"]

@@ -59,19 +59,21 @@ def _with_box(df: DataFrame, boxes: DataFrame, purpose: str) -> DataFrame:
     return df.crossJoin(F.broadcast(one))  # purpose is unique: one row
 
 
+def _touching(edges: DataFrame, boxes: DataFrame, purpose: str) -> DataFrame:
+    hit = overlaps(bounds(F.col("pts")), _columns("_"))
+    return _with_box(edges, boxes, purpose).filter(F.coalesce(hit, F.col("pts").isNull()))
+
+
 def touching(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
     """Edges whose envelope meets the box; rows without geometry stay. A box with nothing left meets none."""
-    hit = overlaps(bounds(F.col("pts")), _columns("_"))
-    return _with_box(edges, boxes, purpose).filter(F.coalesce(hit, F.col("pts").isNull())).drop(*[f"_{n}" for n in BOX])
+    return _touching(edges, boxes, purpose).select(*edges.columns)
 
 
 def clip(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
     """Edges cut exactly at the box: one row per part, numbered by part_no; nothing left = no row."""
-    near = _with_box(touching(edges, boxes, purpose), boxes, purpose)
     others = [c for c in edges.columns if c != "pts"]
-    return near.select(*others, F.posexplode(clip_line(F.col("pts"), _columns("_"))).alias("part_no", "pts")).withColumn(
-        "part_no", F.col("part_no") + 1
-    )
+    parts = F.posexplode(clip_line(F.col("pts"), _columns("_"))).alias("part_no", "pts")
+    return _touching(edges, boxes, purpose).select(*others, parts).withColumn("part_no", F.col("part_no") + 1)
 
 
 def unique_parts(parts: DataFrame) -> DataFrame:

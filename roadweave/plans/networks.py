@@ -109,9 +109,9 @@ def carriageways(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def authority_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+def authority_raw(spark: SparkSession, sf_dir: str, serial: bool = True) -> DataFrame:
     axes = road_axes(spark, sf_dir).drop("o_totalprice")
-    return assemble_authority(axes, carriageways(spark, sf_dir), streets(spark, sf_dir))
+    return assemble_authority(axes, carriageways(spark, sf_dir), streets(spark, sf_dir), serial)
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,15 +133,15 @@ def restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row("i % 10 = 0", "i + 2").unionByName(row("i % 37 = 0", "i")).unionByName(row(both, "i + 2")).unionByName(row(both, "i"))
 
 
-def community_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+def community_network(spark: SparkSession, sf_dir: str, tags: list[str] | None = None) -> DataFrame:
     """Community edges after selection and tag join, with length (speed not yet filled in)."""
     ways = filter_car_roads(community_ways(spark, sf_dir))
-    return set_length(join_segments(ways, community_segments(spark, sf_dir)))
+    return set_length(join_segments(ways, community_segments(spark, sf_dir), tags=tags))
 
 
-def authority_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+def authority_network(spark: SparkSession, sf_dir: str, serial: bool = True) -> DataFrame:
     """Authority edges with length (speed not yet filled in)."""
-    return set_length(authority_raw(spark, sf_dir))
+    return set_length(authority_raw(spark, sf_dir, serial))
 
 
 def community_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:

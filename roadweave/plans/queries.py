@@ -148,7 +148,9 @@ def speed_authority(spark: SparkSession, d: str) -> DataFrame:
 
 
 def weights_community(spark: SparkSession, d: str) -> DataFrame:
-    return N.community_weighted(spark, d).select("edge_id", "distance", "weights_car", "weights_car_reverse")
+    edges = N.community_network(spark, d, tags=["highway", "maxspeed", "maxspeed_type", "zone_traffic", "oneway"])
+    edges = weights.set_weights(weights.set_speed_community(edges), weights.community_profile())
+    return edges.select("edge_id", "distance", "weights_car", "weights_car_reverse")
 
 
 def weights_authority(spark: SparkSession, d: str) -> DataFrame:
@@ -156,7 +158,9 @@ def weights_authority(spark: SparkSession, d: str) -> DataFrame:
 
 
 def network_completeness(spark: SparkSession, d: str) -> DataFrame:
-    return compare.compare_networks(N.authority_network(spark, d), N.community_network(spark, d))
+    # measures need neither edge ids nor most tags, so no global sort and no wide rows in the shuffle
+    community = N.community_network(spark, d, tags=["highway", "maxspeed", "name", "oneway", "ref"])
+    return compare.compare_networks(N.authority_network(spark, d, serial=False), community)
 
 
 # ---------------------------------------------------------------- study area
