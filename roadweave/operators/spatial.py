@@ -161,7 +161,9 @@ def nearest_node(points: DataFrame, nodes: DataFrame, radius: float) -> DataFram
     )
 
 
-def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0, by: list[str] | None = None) -> DataFrame:
+def nearest_edge(
+    points: DataFrame, edges: DataFrame, cell: float = 64.0, by: list[str] | None = None, crowd: int = 2000
+) -> DataFrame:
     """Nearest edge of every point, with the foot point on it; lowest edge id on ties.
 
     points (point_id, x, y), edges (edge_id, pts) →
@@ -170,23 +172,34 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0, by: li
     With `by`, a point only looks at edges that agree with it in these columns.
 
     A point looks at the 3 × 3 cells around it. A hit not farther than one cell width cannot be beaten
-    from outside, so it is final; the other points try again with cells twice as wide.
+    from outside, so it is final; the other points try again with cells twice as wide. Points near a
+    cell of more than `crowd` segments begin with cells an eighth as wide, so that they meet few of them.
     """
     by = by or []
-    ids = [*by, "point_id"]
     segs = pin_table(segments(edges, [*by, "edge_id"]))
     span = segs.agg(
         F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2"))
     ).first()
-    waiting = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*ids, "x", "y")
-    if span[0] is None:
-        return _no_hits(waiting)
+    waiting = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*by, "point_id", "x", "y")
     ends = waiting.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if ends[0] is None:
+    if span[0] is None or ends[0] is None:
         return _no_hits(waiting)
     widest = max(max(span[1], ends[1]) - min(span[0], ends[0]), max(span[3], ends[3]) - min(span[2], ends[2]), cell)
-    done, size = [], float(cell)
+    return reduce(DataFrame.unionByName, _settle(waiting, segs, float(cell), widest, by, crowd))
+
+
+def _settle(waiting: DataFrame, segs: DataFrame, size: float, widest: float, by: list[str], crowd: int) -> list[DataFrame]:
+    """Rounds of nearest_edge from one cell width on."""
+    ids = [*by, "point_id"]
     columns = ["edge_id", "seg_no", "t", "qx", "qy", "dist"]
+    done = []
+    full = tile_segments(segs, size).groupBy(*by, *CELL).agg(F.count("*").alias("_n")).filter(F.col("_n") > crowd)
+    full = pin(full.select(*by, *CELL))
+    if size > 0.5 and not full.isEmpty():
+        seen = waiting.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), size, size)))
+        near = pin(seen.join(full, [*by, *CELL], "left_semi").select(*ids, "x", "y").distinct())
+        done += _settle(near, segs, size / 8, widest, by, crowd)
+        waiting = waiting.join(near.select(*ids), ids, "left_anti")
     while True:
         seen = waiting.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), size, size)))
         hits = with_foot(seen.join(tile_segments(segs, size), [*by, *CELL]), "x", "y")
@@ -197,7 +210,7 @@ def nearest_edge(points: DataFrame, edges: DataFrame, cell: float = 64.0, by: li
         done.append(found.filter("_ok").select(*ids, "x", "y", *[F.col(f"_b.{c}").alias(c) for c in columns]))
         waiting = found.filter("NOT _ok").select(*ids, "x", "y")
         if last or waiting.isEmpty():
-            return reduce(DataFrame.unionByName, done)
+            return done
         size *= 2
 
 

@@ -125,13 +125,14 @@ def test_topology_tolerance_and_missing_lines(spark):
     assert report["null_rows"] == 1 and report["isolated"] == 1 and report["dead_ends"] == 4 and report["gaps"] == 1
 
 
-def test_nearest_edge_equals_brute_force(spark):
+@pytest.mark.parametrize("crowd", [2000, 4])
+def test_nearest_edge_equals_brute_force(spark, crowd):
     rnd = random.Random(5)
     edges = {e: [(rnd.uniform(0, 900), rnd.uniform(0, 900)) for _ in range(rnd.choice([2, 3]))] for e in range(60)}
     points = {k: (rnd.uniform(-3000, 4000), rnd.uniform(0, 900)) for k in range(80)}
     got = spatial.nearest_edge(
         spark.createDataFrame([(k, *p) for k, p in points.items()], "point_id long, x double, y double"),
-        lines(spark, list(edges.items())), cell=20.0,
+        lines(spark, list(edges.items())), cell=20.0, crowd=crowd,
     ).collect()
     assert len(got) == 80
     for r in got:
