@@ -413,11 +413,12 @@ def turn_route_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_status(spark: SparkSession, d: str) -> DataFrame:
-    named = lambda k: stages.routes(spark, d, k)[1].withColumn("data_basis", F.lit(k))
-    return named("authority").unionByName(named("community"))
+    a, c = (status.withColumn("data_basis", F.lit(k)) for k, (_, status) in stages.both_routes(spark, d).items())
+    return a.unionByName(c)
 
 
 def route_compare(spark: SparkSession, d: str) -> DataFrame:
+    stages.both_routes(spark, d)
     return compare.compare_routes(stages.full_steps(spark, d, "authority"), stages.full_steps(spark, d, "community"), 5.0)
 
 

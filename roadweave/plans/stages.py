@@ -9,7 +9,7 @@ from roadweave.operators import batch, paths
 from roadweave.operators.snap import Snapped, remap_restrictions, snap_points
 from roadweave.operators.topology import build_topology
 from roadweave.plans import networks as N
-from roadweave.session import pin, pin_table
+from roadweave.session import pin, pin_table, side_by_side
 
 _MEMO: dict = {}
 
@@ -85,6 +85,14 @@ def routes(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, Data
     return _once(spark, sf_dir, f"routes {kind}", make)
 
 
+KINDS = ("authority", "community")
+
+
+def both_routes(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Routes on the two networks, searched at the same time."""
+    return dict(zip(KINDS, side_by_side(*[lambda k=k: routes(spark, sf_dir, k) for k in KINDS])))
+
+
 def full_steps(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     """Route steps with edge attributes, hook lengths and point ids."""
     net = snapped(spark, sf_dir, kind)

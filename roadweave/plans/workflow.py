@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.projection import reproject
 from roadweave.operators import assemble, batch, clip, compare, paths, snap, topology, weights
-from roadweave.session import pin, pin_table
+from roadweave.session import pin, pin_table, side_by_side
 from roadweave.sources import tables
 
 
@@ -98,11 +98,11 @@ def run(inputs: Inputs, box: tuple[float, float, float, float] | None = None, po
     }
     sample = pin(batch.sample_points(homes, points, seed))
     pairs = pin(batch.pair_points(sample))
-    steps, status = {}, []
-    for kind, net in nets.items():
+
+    def route(kind: str):
+        net = nets[kind]
         edges = pin_table(weigh[kind](net.edges))
         put = snap.snap_points(sample.withColumnRenamed("id", "point_id"), edges, net.nodes)
-        nets[kind] = Network(put.edges, put.nodes, net.checks)
         asked = pin(batch.pairs_on_network(pairs, put.points))
         if kind == "community":
             bans = snap.remap_restrictions(inputs.restrictions, put.edges)
@@ -110,8 +110,13 @@ def run(inputs: Inputs, box: tuple[float, float, float, float] | None = None, po
         else:
             found, told = paths.shortest_routes(put.edges, put.nodes, asked)
         full = batch.attach_edges(found, put.edges, ["source", "target", "pts", "distance", "maxspeed", "weights_car", "weights_car_reverse"])
-        steps[kind] = pin(batch.attach_hooks(full, asked).withColumn("maxspeed", F.col("maxspeed").cast("string")))
-        status.append(told.withColumn("data_basis", F.lit(kind)))
+        steps = pin(batch.attach_hooks(full, asked).withColumn("maxspeed", F.col("maxspeed").cast("string")))
+        return Network(put.edges, put.nodes, net.checks), steps, told.withColumn("data_basis", F.lit(kind))
+
+    done = dict(zip(nets, side_by_side(*[lambda k=k: route(k) for k in nets])))
+    nets = {k: v[0] for k, v in done.items()}
+    steps = {k: v[1] for k, v in done.items()}
+    status = [v[2] for v in done.values()]
     routes = pin(compare.compare_routes(steps["authority"], steps["community"], radius))
     return Results(boxes, nets, measures, sample, steps, pin(status[0].unionByName(status[1])), routes)
 
