@@ -115,19 +115,15 @@ def not_in_column(df: DataFrame, column: str, other: DataFrame, other_column: st
     """SQL `NOT IN (subquery)` with its NULL rules, as a hash anti join that scales.
 
     One NULL on the right removes every row; a NULL on the left is removed unless the right is empty.
-    The two facts about the right side are one-row aggregates; the anti join itself is an equi join,
+    The two facts about the right side are one scalar subquery; the anti join itself is an equi join,
     so neither side has to fit into one executor.
     """
     facts = other.agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(F.col(other_column).isNull()).alias("_nulls")
-    )
+        F.struct(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(other_column).isNull()).alias("nulls"))
+    ).scalar()
     keys = other.select(F.col(other_column).alias("_key")).filter("_key is not null").distinct()
     kept = df.join(keys, F.col(column) == F.col("_key"), "left_anti")
-    return (
-        kept.crossJoin(F.broadcast(facts))  # exactly one row
-        .filter((F.col("_rows") == 0) | ((F.col("_nulls") == 0) & F.col(column).isNotNull()))
-        .drop("_rows", "_nulls")
-    )
+    return kept.filter((facts["rows"] == 0) | ((facts["nulls"] == 0) & F.col(column).isNotNull()))
 
 
 def union_axes(axes: DataFrame, carriageways: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.functions.geometry import BOX, bounds, box_inset, box_intersection, clip_line, overlaps
@@ -31,9 +31,8 @@ def study_boxes(a: DataFrame, b: DataFrame, box: tuple[float, float, float, floa
     Without a given box the common extent is the outer box and the inner box lies 1.5 km inside it;
     with one, the inner box is its overlap with the common extent. Addresses keep 1 km more distance.
     """
-    ea = extent(a).select(*[F.col(n).alias(f"a_{n}") for n in BOX])
-    eb = extent(b).select(*[F.col(n).alias(f"b_{n}") for n in BOX])
-    both = ea.crossJoin(F.broadcast(eb))  # one row each
+    both = extent(a).withColumn("_of", F.lit("a")).unionByName(extent(b).withColumn("_of", F.lit("b")))
+    both = both.agg(*[F.max(F.when(F.col("_of") == k, F.col(n))).alias(f"{k}_{n}") for k in "ab" for n in BOX])
     common = box_intersection(_columns("a_"), _columns("b_"))
     both = both.select(*[c.alias(n) for n, c in common.items()])
     common = _columns("")
@@ -54,44 +53,40 @@ def study_boxes(a: DataFrame, b: DataFrame, box: tuple[float, float, float, floa
     )
 
 
-def _with_box(df: DataFrame, boxes: DataFrame, purpose: str) -> DataFrame:
-    one = boxes.filter(F.col("purpose") == purpose).select(*[F.col(n).alias(f"_{n}") for n in BOX])
-    return df.crossJoin(F.broadcast(one))  # purpose is unique: one row
+def _the_box(boxes: DataFrame, purpose: str) -> dict[str, Column]:
+    """The box of a purpose (there is one) as a scalar subquery, run once however often it is used."""
+    one = boxes.filter(F.col("purpose") == purpose).select(F.struct(*BOX).alias("box")).scalar()
+    return {n: one[n] for n in BOX}
 
 
-def _touching(edges: DataFrame, boxes: DataFrame, purpose: str) -> DataFrame:
-    hit = overlaps(bounds(F.col("pts")), _columns("_"))
-    return _with_box(edges, boxes, purpose).filter(F.coalesce(hit, F.col("pts").isNull()))
+def _meets(box: dict[str, Column]) -> Column:
+    return F.coalesce(overlaps(bounds(F.col("pts")), box), F.col("pts").isNull())
 
 
 def touching(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
     """Edges whose envelope meets the box; rows without geometry stay. A box with nothing left meets none."""
-    return _touching(edges, boxes, purpose).select(*edges.columns)
+    return edges.filter(_meets(_the_box(boxes, purpose)))
 
 
 def clip(edges: DataFrame, boxes: DataFrame, purpose: str = "inner_bbox") -> DataFrame:
     """Edges cut exactly at the box: one row per part, numbered by part_no; nothing left = no row."""
+    box = _the_box(boxes, purpose)
     others = [c for c in edges.columns if c != "pts"]
+    boxed = edges.filter(_meets(box)).withColumns({f"_{n}": c for n, c in box.items()})
     parts = F.posexplode(clip_line(F.col("pts"), _columns("_"))).alias("part_no", "pts")
-    return _touching(edges, boxes, purpose).select(*others, parts).withColumn("part_no", F.col("part_no") + 1)
+    return boxed.select(*others, parts).withColumn("part_no", F.col("part_no") + 1)
 
 
 def unique_parts(parts: DataFrame) -> DataFrame:
     """Give every part beyond the first an edge id of its own, above all others; drops part_no."""
     first, more = parts.filter("part_no = 1"), parts.filter("part_no > 1")
-    top = parts.agg(F.max("edge_id").alias("_top"))
-    more = dense_serial(more, ["edge_id", "part_no"], "_n").crossJoin(F.broadcast(top))  # one row
-    more = more.withColumn("edge_id", F.col("_top") + F.col("_n")).drop("_top", "_n")
+    top = parts.agg(F.max("edge_id")).scalar()
+    more = dense_serial(more, ["edge_id", "part_no"], "_n").withColumn("edge_id", top + F.col("_n")).drop("_n")
     return first.unionByName(more).drop("part_no")
 
 
 def filter_points(points: DataFrame, boxes: DataFrame, purpose: str = "address_bbox") -> DataFrame:
     """Points inside the box (border included); points without coordinates stay."""
-    hit = (
-        (F.col("x") >= F.col("_xmin"))
-        & (F.col("x") <= F.col("_xmax"))
-        & (F.col("y") >= F.col("_ymin"))
-        & (F.col("y") <= F.col("_ymax"))
-    )
-    nowhere = F.col("x").isNull() | F.col("y").isNull()
-    return _with_box(points, boxes, purpose).filter(F.coalesce(hit, nowhere)).drop(*[f"_{n}" for n in BOX])
+    box = _the_box(boxes, purpose)
+    hit = (F.col("x") >= box["xmin"]) & (F.col("x") <= box["xmax"]) & (F.col("y") >= box["ymin"]) & (F.col("y") <= box["ymax"])
+    return points.filter(F.coalesce(hit, F.col("x").isNull() | F.col("y").isNull()))
