@@ -12,7 +12,7 @@ from roadweave.functions.projection import reproject
 from roadweave.operators import assemble, batch, clip, compare, paths, snap, spatial, topology, weights
 from roadweave.plans import networks as N
 from roadweave.plans import stages
-from roadweave.session import dense_serial, pin_table
+from roadweave.session import dense_serial, pin, pin_table
 from roadweave.sources import tables
 from roadweave.sources.files import address_point, kept_tags, segment_ways
 
@@ -184,14 +184,14 @@ def boxes_given(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
-    boxes = _boxes(spark, d, GIVEN_BOX)
+    boxes = pin(_boxes(spark, d, GIVEN_BOX))
     roads = clip.touching(N.community_segments(spark, d), boxes).select(F.lit("road").alias("kind"), F.col("edge_id").alias("id"))
     homes = clip.filter_points(N.addresses(spark, d), boxes).select(F.lit("address").alias("kind"), "id")
     return roads.unionByName(homes)
 
 
 def clip_length(spark: SparkSession, d: str) -> DataFrame:
-    parts = clip.clip(N.community_segments(spark, d), _boxes(spark, d, GIVEN_BOX))
+    parts = clip.clip(N.community_segments(spark, d), pin(_boxes(spark, d, GIVEN_BOX)))
     b = bounds(F.col("pts"))
     return parts.select(
         "edge_id", "part_no", line_length(F.col("pts")).cast("decimal(9,4)").alias("distance"),
