@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import packing, simhash, token_counts
+from roadweave.llm import packing, relative_lz, segment_search, simhash, token_counts
 from roadweave.session import shared_folder
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,10 +26,44 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(_read(spark, sf_dir, "documents"), f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}", VOCABULARY)
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return segment_search.top_k(table, table.where("vec_id % 50 = 0"), 5, scale=256)
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relative_lz.remove_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-REGISTRY = [op2_best_fit_packing, op3_token_counts, op10_simhash]
-SQL: dict[str, str] = {}
+REGISTRY = [op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op6_substring_dedup, op10_simhash]
+SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings
+          WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+          SELECT q.vec_id AS query_id, c.vec_id, max(list_dot_product(q.e, c.e)::BIGINT) AS score
+          FROM v AS q JOIN v AS c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e) GROUP BY ALL)
+        SELECT query_id, rank::INTEGER AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op6_substring_dedup": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+          SELECT rid, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+        starts AS (SELECT rid, i FROM windows WHERE k IN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1)),
+        gone AS (SELECT DISTINCT rid, i + j AS i FROM (SELECT rid, i, unnest(range(0, 35)) AS j FROM starts)),
+        kept AS (
+          SELECT rid, string_agg(word, ' ' ORDER BY i) AS kept
+          FROM (SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d) AS x
+          WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.rid = x.rid AND gone.i = x.i) GROUP BY rid)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (rid) LEFT JOIN (SELECT rid, count(*) AS n FROM gone GROUP BY rid) USING (rid)""",
+}
