@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import packing, relative_lz, segment_search, simhash, token_counts
+from roadweave.llm import html_text, packing, pseudonyms, relative_lz, segment_search, simhash, token_counts
 from roadweave.session import shared_folder
 
+SECRET = b"replace this secret before publishing texts"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -36,12 +37,21 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.replace(_read(spark, sf_dir, "documents"), SECRET)
+    return found.select("doc_id", "text", F.size("spans").alias("n_replaced"), F.concat_ws(",", F.transform("spans", lambda s: s.kind)).alias("kinds"))
+
+
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-REGISTRY = [op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op6_substring_dedup, op10_simhash]
+REGISTRY = [op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op6_substring_dedup, op8_pii, op9_html_text, op10_simhash]
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
         WITH v AS (

@@ -16,9 +16,10 @@ _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 class Encoder:
     """Ids as little-endian uint32 bytes, equal to those of `tokenizers` for the whole text.
 
-    The byte-level tokenizer begins a new piece at every single space between two other characters, so a text is
-    cut there and each word (with its space) is looked up or encoded on its own. Texts with white space beside white
-    space or at an end are encoded whole. Strings of special tokens are ordinary text.
+    The byte-level tokenizer begins a new piece at every single space between two other characters, and makes a single
+    line end a piece, so a text is cut there and each word (with its space) is looked up or encoded on its own; a full
+    stop or comma after a letter is a piece as well. Texts with white space beside white space or at an end are encoded
+    whole. Strings of special tokens are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -32,13 +33,18 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _IRREGULAR.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for p in parts if p for w in p if w not in self.known})
-        for at in range(0, len(new), 4096):
-            self.known.update(zip(new[at : at + 4096], self._encode(new[at : at + 4096]), strict=True))
-        get = self.known.__getitem__
+        parts = [None if "\0" in t or _IRREGULAR.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts]
+        known = self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        new = {w for p in parts if p for w in p if w not in known}
+        closed = {w for w in new if w[-1:] in (".", ",") and w[-2:-1].isalpha()}
+        plain = (new - closed) | {w[:-1] for w in closed} | {".", ","}
+        plain = [w for w in plain if w not in known]
+        for at in range(0, len(plain), 4096):
+            known.update(zip(plain[at : at + 4096], self._encode(plain[at : at + 4096]), strict=True))
+        known.update((w, known[w[:-1]] + known[w[-1]]) for w in closed)
+        get = known.__getitem__
         return [b"".join(map(get, p)) if p else self._encode([t])[0] for t, p in zip(texts, parts, strict=True)]
 
 
