@@ -7,8 +7,10 @@ import hashlib
 import math
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from roadweave.llm.common import arrow_rows
 
@@ -223,3 +225,13 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
         return {key: batch.column(0), text: [t for t, _ in found], "spans": spans}
 
     return arrow_rows(docs.select(key, text), f"`{key}` {kind}, `{text}` string, spans array<struct<begin:int,end:int,kind:string>>", make)
+
+
+def replace_texts(docs: DataFrame, secret: bytes, text: str = "text") -> DataFrame:
+    """docs with all its columns, and the values in its texts replaced as by `replace`."""
+
+    @F.pandas_udf("string")
+    def fresh(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else pseudonymise(t, secret)[0] for t in texts], dtype=object)
+
+    return docs.withColumn(text, fresh(F.col(text)))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import html_text, packing, pseudonyms, relative_lz, segment_search, simhash, token_counts
+from roadweave.llm import html_text, packing, pseudonyms, quality, relative_lz, segment_search, simhash, templates, token_counts, toxicity
 from roadweave.session import shared_folder
 
 SECRET = b"replace this secret before publishing texts"
@@ -19,6 +19,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -32,11 +36,20 @@ def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_search.top_k(table, table.where("vec_id % 50 = 0"), 5, scale=256)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.find(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = relative_lz.remove_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("found").alias("n_passages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.replace(_read(spark, sf_dir, "documents"), SECRET)
     return found.select("doc_id", "text", F.size("spans").alias("n_replaced"), F.concat_ws(",", F.transform("spans", lambda s: s.kind)).alias("kinds"))
@@ -51,7 +64,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-REGISTRY = [op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op6_substring_dedup, op8_pii, op9_html_text, op10_simhash]
+REGISTRY = [
+    op1_quality_classifier, op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op5_decontamination,
+    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash,
+]
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
         WITH v AS (

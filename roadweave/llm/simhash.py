@@ -96,3 +96,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     linked = linked.join(smallest, "root").select("fp", "smallest")
     nodes = nodes.join(linked, "fp", "left").select("fp", F.coalesce("smallest", "least").alias("component"))
     return fps.join(nodes, "fp").select(key, "fp", "component")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, max_distance: int = 4) -> DataFrame:
+    """The rows of docs (a table as read) without near-duplicates, with all their columns.
+
+    Of each component the row with the smallest key stays, of equal keys the first; a null key is smaller than others.
+    """
+    name = "_row"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.monotonically_increasing_id())
+    keyed = rows.select(F.struct(F.col(key).alias("key"), F.col(name).alias("row")).alias("id"), F.col(text).alias("text"))
+    found = near_duplicates(keyed, "id", "text", shingle, max_distance)
+    stay = found.where(F.col("id.row") == F.col("component.row")).select(F.col("id.row").alias(name))
+    return rows.join(stay, name, "leftsemi").drop(name)

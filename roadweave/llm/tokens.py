@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 1 << 20  # entries in one worker; a full cache is emptied
+CACHE_WORDS = 3 << 18  # entries in one worker; a full cache is emptied
 CHARS_AT_ONCE = 1 << 20
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z")
 
