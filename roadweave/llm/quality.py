@@ -61,14 +61,14 @@ def votes(text: bytes, found: list[bytes]) -> str:
             _vote(lone, 0.02, 0.1),
             NONE if n < 10 else _vote(bare, 0.1, 0.02),
             NONE if n < 30 else BAD if ends > 0.5 else GOOD if ends > 0.005 else NONE,
-            _vote(letters / visible, 0.9, 0.75),
+            NONE if n < 20 else _vote(letters / visible, 0.9, 0.75),
         )
     )
 
 
 def hashed(text: bytes, found: list[bytes]) -> tuple[list[int], list[float]]:
     """Buckets and values of the word shapes (first and last two character classes), their length classes and repetition."""
-    n = max(1, len(found))
+    n = len(found) + 20  # short texts show little
     shapes = Counter(s[:1] + s[-2:] for s in text.translate(_SHAPE).split())
     shapes.update({b"len%d" % k: c for k, c in Counter(min(len(w), 20) // 3 for w in found).items()})
     shapes[b"again"] = sum(map(operator.eq, found, found[1:]))
@@ -80,47 +80,45 @@ def hashed(text: bytes, found: list[bytes]) -> tuple[list[int], list[float]]:
 
 
 def accuracies(patterns: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], float, np.ndarray]:
-    """P(good) of every vote pattern, the share of good documents, and each labeller's vote probabilities by class.
+    """P(good) of every vote pattern, the share of good documents, and each labeller's P(vote good), P(vote bad) by class.
 
-    Expectation-maximisation of a two-class model in which the labellers vote independently given the class; it begins
-    from the majority, and counts have a light prior. Input and work depend on the number of patterns only.
+    Expectation-maximisation of a two-class model in which the labellers vote independently given the class; who doesn't
+    vote says nothing. Each labeller knows one kind of fault, so it begins from the belief that a vote against a document
+    outweighs votes for it. Counts have a light prior. Input and work depend on the number of patterns only.
     """
     keys = list(patterns)
     if not keys:
-        return {}, 0.5, np.full((len(LABELLERS), 2, 3), 1 / 3)
+        return {}, 0.5, np.full((len(LABELLERS), 2, 2), 0.5)
     count = np.array([patterns[k] for k in keys], np.float64)
     vote = np.array([[(GOOD, BAD, NONE).index(c) for c in k] for k in keys])
-    goods, bads = (vote == 0).sum(1), (vote == 1).sum(1)
-    p = (goods + 1) / (goods + bads + 2)
-    one = np.eye(3)[vote]  # pattern, labeller, vote
+    one = np.eye(3)[vote][:, :, :2]  # pattern, labeller, vote
+    p = 0.95 * 0.2 ** (vote == 1).sum(1)
     for _ in range(rounds):
-        share = (count @ p + 1) / (count.sum() + 2)
+        share = (count @ p + 4) / (count.sum() + 5)
         both = np.stack([p, 1 - p]) * count
-        # the prior says that a labeller's vote is right more often than not
-        table = np.einsum("cp,plv->lcv", both, one) + np.array([[4.0, 1.0, 1.0], [1.0, 2.0, 1.0]])
+        table = np.einsum("cp,plv->lcv", both, one) + np.array([[9.0, 0.2], [3.0, 1.0]])
         table /= table.sum(2, keepdims=True)
         log = np.einsum("plv,lcv->pc", one, np.log(table)) + np.log([share, 1 - share])
         p = 1 / (1 + np.exp(np.clip(log[:, 1] - log[:, 0], -500, 500)))
     return dict(zip(keys, p.tolist(), strict=True)), float(share), table
 
 
-def fit(rows: list[tuple[list[int], list[float], float, float]], steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and offset of a logistic scorer on (buckets, values, P(good), weight); full gradient steps with momentum."""
+def fit(rows: list[tuple[list[int], list[float], float]], steps: int = 600) -> tuple[np.ndarray, float]:
+    """Weights and offset of a logistic scorer on (buckets, values, P(good)); full gradient steps with momentum."""
     w, b = np.zeros(DIMENSIONS), 0.0
     if not rows:
         return w, b
     at = np.concatenate([np.array(r[0], np.int64) for r in rows])
     value = np.concatenate([np.array(r[1]) for r in rows])
     row = np.repeat(np.arange(len(rows)), [len(r[0]) for r in rows])
-    target, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    weight = weight / weight.sum()
+    target = np.array([r[2] for r in rows])
     speed, speed_b = np.zeros(DIMENSIONS), 0.0
     for _ in range(steps):
         z = np.bincount(row, value * w[at], len(rows)) + b
-        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight
+        g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
         speed = 0.9 * speed + np.bincount(at, value * g[row], DIMENSIONS) + 1e-5 * w
         speed_b = 0.9 * speed_b + g.sum()
-        w, b = w - 1.0 * speed, b - 1.0 * speed_b
+        w, b = w - 2.0 * speed, b - 2.0 * speed_b
     return w, b
 
 
@@ -145,9 +143,7 @@ def learn(texts: DataFrame):
     drawn = drawn.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE).select("text")
     sample = arrow_rows(drawn, "votes string, at array<int>, value array<double>", featured).collect()
     labelled = [(r.at, r.value, posterior[r.votes]) for r in sample if r.votes in posterior]
-    goods = sum(p for *_, p in labelled)
-    balance = lambda p: p / max(goods, 1.0) + (1 - p) / max(len(labelled) - goods, 1.0)
-    return posterior, *fit([(a, v, p, balance(p)) for a, v, p in labelled])
+    return posterior, *fit(labelled)
 
 
 def _score(text: bytes, found: list[bytes], weights: np.ndarray, offset: float) -> float:
@@ -162,7 +158,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Eight heuristics vote on every document. Their vote patterns (at most 3^8) are counted over all documents, and
     expectation-maximisation estimates how accurate each is. The posteriors label at most SAMPLE documents (those with
-    the smallest hashes of their texts, good and bad with equal weight), on which a logistic scorer over hashed word
+    the smallest hashes of their texts), on which a logistic scorer over hashed word
     shapes is fitted. score is its probability that a document is good; keep is score >= 0.5.
 
     Null and empty texts, and texts of white space only, have score 0 and are not kept. Null keys and repeated rows are

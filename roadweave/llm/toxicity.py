@@ -16,7 +16,8 @@ from roadweave.session import pin_table
 BUCKETS = 1 << 20
 PREFIXES = (4, 5)
 CONTEXTS = 64  # a feature's counts are estimated from so many classes of words before it
-PRIOR, LEAST_Z, TOP, DRIFT = 0.5, 2.5, 8.0, -0.05
+PRIOR, LEAST_Z, TOP, DRIFT = 0.5, 4.0, 8.0, -0.05
+ECHO = 50  # a word that came among so many words before adds nothing again
 _STRIP = ".,;:!?()[]{}\"'«»„“”…*#%&$|-–—"
 CACHE_WORDS = 1 << 20
 
@@ -58,23 +59,22 @@ def log_odds(labelled: DataFrame) -> DataFrame:
     """(bucket, weight) of the features that mark label 1 significantly, from rows (label 0 or 1, text).
 
     Counts are numbers of different contexts (linear counting over classes of the word before), so that copies of a text
-    count once however many there are. The log-odds have a symmetric Dirichlet prior; a feature stays if its log-odds
-    are LEAST_Z standard deviations above zero, and its weight is at most TOP.
+    count once however many there are. The log-odds compare the counts by class, with a Dirichlet prior of PRIOR in
+    proportion to the number of rows of the class; a feature stays if its log-odds are LEAST_Z standard deviations above
+    zero, and its weight is at most TOP. A feature that nearly all contexts precede in label 0 is common language and stays out.
     """
+    rows = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    exposure = max(rows.get(0, 0), 1) / max(rows.get(1, 0), 1)
     masks = labelled.mapInArrow(_contexts, "label int, bucket long, mask long").groupBy("bucket").pivot("label", [0, 1]).agg(F.bit_or("mask"))
 
     def number(mask: Column) -> Column:
         free = F.lit(CONTEXTS + 0.5) - F.bit_count(F.coalesce(mask, F.lit(0).cast("long")))
         return F.log(F.lit(CONTEXTS + 0.5) / free) * CONTEXTS
 
-    counts = pin_table(masks.select("bucket", number(F.col("0")).alias("n0"), number(F.col("1")).alias("n1")))
-    sums = counts.agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), (F.count("*") * PRIOR).alias("prior")).first()
-    prior, s0, s1 = sums.prior or PRIOR, sums.s0 or 0.0, sums.s1 or 0.0
-    logit = lambda n, s: F.log((n + PRIOR) / (F.lit(s + prior) - n - PRIOR + 1e-9))
-    delta = logit(F.col("n1"), s1) - logit(F.col("n0"), s0)
-    z = delta / F.sqrt(1 / (F.col("n1") + PRIOR) + 1 / (F.col("n0") + PRIOR))
-    evidence = (F.col("n1") + 1) / (F.col("n0") + 1) * F.lit((s0 + prior) / (s1 + prior))
-    return counts.where((z > LEAST_Z) & (F.col("n1") > 3) & (evidence > 3)).select("bucket", F.least(F.log(evidence), F.lit(TOP)).alias("weight"))
+    n0, n1 = number(F.col("0")) + PRIOR * max(1.0, exposure), number(F.col("1")) + PRIOR * max(1.0, 1 / exposure)
+    delta = F.log(n1 / n0 * exposure)
+    rare = F.bit_count(F.coalesce(F.col("0"), F.lit(0).cast("long"))) <= CONTEXTS * 3 // 4
+    return masks.where(rare & (delta > LEAST_Z * F.sqrt(1 / n1 + 1 / n0))).select("bucket", F.least(delta, F.lit(TOP)).alias("weight"))
 
 
 def segments(places: list[int], weights: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -105,7 +105,7 @@ class _Scorer:
         self.model, self.known = model, {}
 
     def __call__(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        words, places, weights = tokens(text), [], []
+        words, places, weights, last = tokens(text), [], [], {}
         for i, w in enumerate(words):
             weight = self.known.get(w)
             if weight is None:
@@ -113,16 +113,18 @@ class _Scorer:
                     self.known.clear()
                 weight = self.known[w] = max(self.model.get(b, 0.0) for b in features(w))
             if weight > 0:
-                places.append(i)
-                weights.append(weight)
+                if i - last.get(w, -ECHO) >= ECHO:
+                    places.append(i)
+                    weights.append(weight)
+                last[w] = i
         return len(words), segments(places, weights)
 
 
 def passages(docs: DataFrame, model: dict[int, float], key: str, text: str, lam: float) -> DataFrame:
-    """(key, n, x, found) per row: tokens, the extreme-value statistic of the best segment, and the significant segments."""
+    """(key, h, n, x, found) per row: hash of the text, tokens, the best segment's extreme-value statistic, significant segments."""
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS entries
-    schema = f"`{key}` {kind}, n long, x double, found array<struct<begin:int,end:int,score:double>>"
+    schema = f"`{key}` {kind}, h long, n long, x double, found array<struct<begin:int,end:int,score:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _Scorer(shared.value)
@@ -131,35 +133,43 @@ def passages(docs: DataFrame, model: dict[int, float], key: str, text: str, lam:
             xs = [lam * max([s for *_, s in found], default=0.0) - math.log(max(n, 1)) for n, found in out]
             found = [[{"begin": a, "end": b, "score": s} for a, b, s in found if lam * s > math.log(max(n, 1))] for n, found in out]
             kinds = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int64()), pa.array(xs, pa.float64()), pa.array(found, kinds)], names=[key, "n", "x", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([n for n, _ in out], pa.int64()), pa.array(xs, pa.float64()), pa.array(found, kinds)], names=[key, "h", "n", "x", "found"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, F.xxhash64(text).alias("h")).mapInArrow(run, schema)
 
 
 def _logistic(x: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[float, float]:
-    """a, b of 1 / (1 + exp(-(a x + b))) by Newton steps on counts, with a light prior; a is not negative."""
-    a, b = 1.0, -2.0
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = n * p * (1 - p) + 1e-9
-        g = np.array([((ones - n * p) * x).sum() - 1e-2 * (a - 1), (ones - n * p).sum() - 1e-2 * (b + 2)])
-        h = np.array([[(w * x * x).sum() + 1e-2, (w * x).sum()], [(w * x).sum(), w.sum() + 1e-2]])
-        step = np.clip(np.linalg.solve(h, g), -1, 1)
-        a, b = max(0.0, a + step[0]), b + step[1]
-        if abs(step).max() < 1e-6:
+    """a, b of 1 / (1 + exp(-(a x + b))) by Newton steps with halving on counts, with a light prior around a = 1, b = -2."""
+
+    def loss(t: np.ndarray) -> float:
+        z = t[0] * x + t[1]
+        return float((n * np.logaddexp(0, z) - ones * z).sum() + 0.005 * ((t[0] - 1) ** 2 + (t[1] + 2) ** 2))
+
+    t = np.array([1.0, -2.0])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(t[0] * x + t[1], -500, 500)))
+        w = n * p * (1 - p)
+        g = np.array([((n * p - ones) * x).sum() + 0.01 * (t[0] - 1), (n * p - ones).sum() + 0.01 * (t[1] + 2)])
+        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-9 and loss(t - size * step) > loss(t):
+            size /= 2
+        t = t - size * step
+        if abs(size * step).max() < 1e-8:
             break
-    return float(a), float(b)
+    return float(t[0]), float(t[1])
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(key, held_out, score, predicted, n, found) per row of docs; found lists the significant toxic passages (token ranges).
 
     Rows whose crc32 of the key (as text) is 0 modulo 5 are held out; log-odds and calibration learn from the other
-    labelled rows, all of them. A word weighs the log-odds of its most toxic significant feature, any other word a little
-    below zero; maximal scoring segments are found in linear time over the whole text. In clean text the best segment S
+    labelled rows, all of them. A word weighs the log-odds of its most toxic significant feature, any other word, and
+    one that is repeated within ECHO words, a little below zero; maximal scoring segments are found in linear time over the whole text. In clean text the best segment S
     of n words follows an extreme-value law, P(max > S) = 1 - exp(-K n exp(-lambda S)): lambda solves
     E[exp(lambda s)] = 1 for the smoothed weights of clean rows, and lambda S - ln n, the law's standard variable, is
-    turned into the probability of label 1 by a logistic curve (its offset takes up K) fitted on counts per bin.
+    turned into the probability of label 1 by a logistic curve (its offset takes up K) fitted on counts per bin (copies of
+    a text count once).
 
     The text is the only input of a score. Null and empty texts score like a text without toxic words; a null key is not
     held out and has no label; rows with equal keys are scored each, and several labels of a key count as their highest;
@@ -178,7 +188,7 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         lam = (low + high) / 2
         low, high = (lam, high) if rare * math.exp(lam * weight) + (1 - rare) * math.exp(lam * DRIFT) < 1 else (low, lam)
     found = pin_table(passages(docs, model, key, text, lam).withColumn("held_out", out_of))
-    bins = found.where(~F.col("held_out")).join(known, key).groupBy(F.round("x", 1).alias("x"), "label").agg(F.count("*").alias("n"))
+    bins = found.where(~F.col("held_out")).join(known, key).dropDuplicates(["h", "label"]).groupBy(F.round("x", 1).alias("x"), "label").agg(F.count("*").alias("n"))
     rows = bins.collect()  # bins of 0.1 of a bounded range
     x, ones, n = (np.array([f(r) for r in rows], np.float64) for f in (lambda r: r.x, lambda r: r.n * r.label, lambda r: r.n))
     a, b = _logistic(x, ones, n) if rows else (1.0, -2.0)

@@ -9,18 +9,18 @@ from roadweave.llm import quality as q
 def test_accuracies_of_known_labellers():
     rng = random.Random(11)
     truth = [rng.random() < 0.8 for _ in range(6000)]
-    right = [0.95, 0.9, 0.85, 0.8, 0.9, 0.7, 0.9, 0.85]
+    right = [(0.99, 0.6), (0.97, 0.5), (0.95, 0.7), (0.98, 0.5), (0.9, 0.6), (0.95, 0.6), (0.97, 0.4), (0.99, 0.7)]  # P(g | good), P(b | bad)
     patterns = {}
     marks = []
     for good in truth:
-        k = "".join("-" if rng.random() < 0.2 else "gb"[(rng.random() < r) != good] for r in right)
+        k = "".join("-" if rng.random() < 0.2 else ("gb"[rng.random() >= a] if good else "bg"[rng.random() >= b]) for a, b in right)
         patterns[k] = patterns.get(k, 0) + 1
         marks.append(k)
     p, share, table = q.accuracies(patterns)
     assert abs(share - 0.8) < 0.03
     assert sum((p[k] >= 0.5) == t for k, t in zip(marks, truth, strict=True)) > 0.97 * len(truth)
-    for r, t in zip(right, table, strict=True):
-        assert abs(t[0, 0] / (t[0, 0] + t[0, 1]) - r) < 0.05
+    for (a, b), t in zip(right, table, strict=True):
+        assert abs(t[0, 0] - a) < 0.03 and abs(t[1, 1] - b) < 0.06
     assert q.accuracies({})[0] == {}
 
 

@@ -45,7 +45,7 @@ def corpus(rng, n):
 def test_held_out_accuracy_and_odd_rows(spark):
     docs, labels = corpus(random.Random(10), 1500)
     copies = [(5000 + i, "rupo tema lisu " * 30 + f"w{i % 3}", "x", 0.5, 1) for i in range(400)]  # a large group labelled 1 by mistake
-    odd = [(9001, None, "x", 0.5, 1), (9002, "", "x", 0.5, 1), (None, "vrakz", "x", 0.5, 1), (9003, "!!", "x", 0.5, 1), (9004, "a " * 300_000 + "vrakz", "x", 0.5, 1), docs[0]]
+    odd = [(9001, None, "x", 0.5, 1), (9002, "", "x", 0.5, 1), (None, "vrakz", "x", 0.5, 1), (9003, "!!", "x", 0.5, 1), (9004, "a " * 300_000 + "vrakz zulgrim xofby", "x", 0.5, 1), docs[0]]
     known = labels + [(k, 1, 1) for k, *_ in copies] + [(3, None, None), (4, 1, 0), (None, 1, 1)]
     schema = "doc_id long, text string, label string, score double, held_out int"
     table = spark.createDataFrame(docs + copies + odd, schema).repartition(4)
