@@ -324,7 +324,7 @@ rng AS (SELECT i, k, la,
   CASE WHEN h2*h2 >= c2_ THEN greatest(0.0, (-h2 - sqrt(h2*h2-c2_))/(la*la)) END AS n0, CASE WHEN h2*h2 >= c2_ THEN least(1.0, (-h2 + sqrt(h2*h2-c2_))/(la*la)) END AS n1 FROM disc),
 uni AS (SELECT i, la, least(l0, CASE WHEN m0 <= m1 THEN m0 END, CASE WHEN n0 <= n1 THEN n0 END) AS t0, greatest(l1, CASE WHEN m0 <= m1 THEN m1 END, CASE WHEN n0 <= n1 THEN n1 END) AS t1 FROM rng),
 tot AS (SELECT i, round(coalesce(sum((t1 - t0) * la), 0) * 10000)::BIGINT AS got, round(sum(la) * 10000)::BIGINT AS full_len FROM uni GROUP BY i)""",
-        "SELECT i AS route_id, least(((2 * got * 10000 + full_len) // (2 * full_len)) / 100.0, 100)::DECIMAL(5,2) AS buffer FROM tot",
+        "SELECT i AS route_id, (((2 * got * 10000 + full_len) // (2 * full_len)) / 100.0)::DECIMAL(5,2) AS buffer FROM tot",
     )
 
 
@@ -338,7 +338,7 @@ def _hausdorff() -> str:
     a = [("ax1", "ay1"), ("ax2", "ay2"), ("ax3", "ay3")]
     b = [("x1", "y1"), ("x2", "y2")]
     terms = [_pt_seg(p, b[0], b[1]) for p in a] + [f"least({_pt_seg(p, a[0], a[1])}, {_pt_seg(p, a[1], a[2])})" for p in b]
-    return _q(AXES, f"SELECT i AS route_id, greatest({', '.join(terms)})::DECIMAL(9,4) AS hausdorff_distance FROM ax")
+    return _q(AXES, f"SELECT i AS route_id, greatest({', '.join(terms)})::DECIMAL(18,4) AS hausdorff_distance FROM ax")
 
 
 def _frechet() -> str:
@@ -347,7 +347,7 @@ def _frechet() -> str:
     )
     steps = f""", f0 AS (SELECT i, {d} FROM ax), f1 AS (SELECT *, greatest(d11, d12) AS g12, greatest(d11, d21) AS g21 FROM f0),
 f2 AS (SELECT *, greatest(d22, least(d11, g12, g21)) AS g22, greatest(g21, d31) AS g31 FROM f1)"""
-    return _q(AXES + steps, "SELECT i AS route_id, greatest(d32, least(g21, g22, g31))::DECIMAL(9,4) AS frechet_distance FROM f2")
+    return _q(AXES + steps, "SELECT i AS route_id, greatest(d32, least(g21, g22, g31))::DECIMAL(18,4) AS frechet_distance FROM f2")
 
 
 def sql() -> dict[str, str]:

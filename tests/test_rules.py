@@ -161,3 +161,62 @@ def test_hooks_on_one_step_routes(spark):
 def test_serial_is_dense_over_many_partitions(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("(id * 37) % 1000 AS k")
     assert [r.n for r in dense_serial(df, ["k"], "n", 0).orderBy("k").collect()] == list(range(1000))
+
+
+def _wave(n, phase, step=40.0, x0=0.0):
+    return [(x0 + i * step, 300 * math.sin(i / 7 + phase)) for i in range(n)]
+
+
+def test_measures_of_long_lines(spark):
+    """Lines far longer than one study area, against plain loops."""
+    a, b = _wave(260, 0.0), _wave(210, 0.4, 50.0, 10.0)
+    far = [(x * 15, y) for x, y in a]  # some 150 km
+    seg = lambda p, q1, q2: math.dist(p, _foot(p, q1, q2))
+    one_way = lambda p, q: max(min(seg(v, *s) for s in zip(q, q[1:])) for v in p)
+    assert abs(measure(spark, compare.hausdorff, a, b) - max(one_way(a, b), one_way(b, a))) < 1e-3
+    table = {}
+    for i, p in enumerate(a):
+        for j, q in enumerate(b):
+            before = [table[k] for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)) if k in table]
+            table[i, j] = max(math.dist(p, q), min(before) if before else 0)
+    assert abs(measure(spark, compare.frechet, a, b) - table[len(a) - 1, len(b) - 1]) < 1e-3
+    for x, y in ((a, b), (far, far[::2]), (far, far)):
+        got = measure(spark, lambda p, q: compare.overlap_share(p, q, 5.0), x, y)
+        inside = total = 0.0
+        for p, q in zip(x, x[1:]):
+            n = 400
+            near = [s for s in zip(y, y[1:]) if min(s[0][0], s[1][0]) - 5 <= max(p[0], q[0]) and max(s[0][0], s[1][0]) + 5 >= min(p[0], q[0])]
+            hits = sum(any(seg(m, *s) <= 5 for s in near) for m in ((p[0] + (q[0] - p[0]) * (k + 0.5) / n, p[1] + (q[1] - p[1]) * (k + 0.5) / n) for k in range(n)))
+            inside, total = inside + math.dist(p, q) * hits / n, total + math.dist(p, q)
+        assert abs(got - 100 * inside / total) < 0.1, (got, 100 * inside / total)
+
+
+def _foot(p, a, b):
+    d = ((b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2) or 1.0
+    t = max(0.0, min(1.0, ((p[0] - a[0]) * (b[0] - a[0]) + (p[1] - a[1]) * (b[1] - a[1])) / d))
+    return a[0] + t * (b[0] - a[0]), a[1] + t * (b[1] - a[1])
+
+
+def test_many_arcs_do_not_spill_into_the_time(spark):
+    from roadweave.operators import paths
+
+    arcs = spark.range(140_000)
+    free = arcs.select(paths.weight_of(F.lit("0.00").cast("decimal(8,2)"), F.col("id")).alias("w"))
+    assert free.agg(paths.seconds_of(F.sum("w")).alias("s")).first().s == 0
+    paid = arcs.select(paths.weight_of(F.lit("0.01").cast("decimal(8,2)"), F.col("id")).alias("w"))
+    assert paid.agg(paths.seconds_of(F.sum("w")).alias("s")).first().s == 1400
+    seed = spark.createDataFrame([(1, 1, 0)], "source long, node long, key long")
+    steep = spark.createDataFrame([(1, 2, (1 << 35) + 5, 0)], "from_node long, to_node long, w long, arc long")
+    with pytest.raises(OverflowError):
+        paths.relax(seed, steep)
+
+
+def test_equal_ways_take_the_lowest_arc(spark):
+    from roadweave.operators import paths
+
+    seed = spark.createDataFrame([(1, 1, 0)], "source long, node long, key long")
+    rows = [(1, 2, 10, 9), (1, 3, 10, 8), (2, 4, 5, 7), (3, 4, 5, 6), (4, 5, 1, 5), (1, 5, 16, 99)]
+    for order in (rows, rows[::-1]):
+        arcs = spark.createDataFrame(order, "from_node long, to_node long, w long, arc long").repartition(3)
+        got = {r.node: r.arc for r in paths.relax(seed, arcs).collect()}
+        assert got == {1: None, 2: 9, 3: 8, 4: 6, 5: 5}
