@@ -25,7 +25,10 @@ def _columns(prefix: str) -> dict:
     return {n: F.col(f"{prefix}{n}") for n in BOX}
 
 
-def study_boxes(a: DataFrame, b: DataFrame, box: tuple[float, float, float, float] | None = None) -> DataFrame:
+def study_boxes(
+    a: DataFrame, b: DataFrame, box: tuple[float, float, float, float] | None = None,
+    road_inset: float = ROAD_INSET, address_inset: float = ADDRESS_INSET,
+) -> DataFrame:
     """Three rows (purpose, xmin, ymin, xmax, ymax) for outer, inner and address box.
 
     Without a given box the common extent is the outer box and the inner box lies 1.5 km inside it;
@@ -37,12 +40,12 @@ def study_boxes(a: DataFrame, b: DataFrame, box: tuple[float, float, float, floa
     both = both.select(*[c.alias(n) for n, c in common.items()])
     common = _columns("")
     if box is None:
-        outer, inner = common, box_inset(common, ROAD_INSET)
+        outer, inner = common, box_inset(common, road_inset)
     else:
         outer = {n: F.lit(float(v)) for n, v in zip(BOX, box)}
         inner = box_intersection(outer, common)
     both = both.select(*[c.alias(f"o_{n}") for n, c in outer.items()], *[c.alias(f"i_{n}") for n, c in inner.items()])
-    address = box_inset(_columns("i_"), ADDRESS_INSET)
+    address = box_inset(_columns("i_"), address_inset)
     row = lambda purpose, b: F.struct(F.lit(purpose).alias("purpose"), *[c.alias(n) for n, c in b.items()])
     return both.select(
         F.inline(

@@ -277,27 +277,37 @@ def _catchment_ctes(kind: str, tag: str) -> str:
             " QUALIFY row_number() OVER (PARTITION BY gml_id ORDER BY edge_id) = 1"
         )
     p = tag
+    # key: hundredths of a second above 36 bits of tie numbers
     return f""",
 {p}e AS ({edges}),
 {p}d AS (SELECT x, y, min(k) AS node FROM (SELECT xa AS x, ya AS y, 2 * edge_id AS k FROM {p}e UNION ALL SELECT xb, yb, 2 * edge_id + 1 FROM {p}e) GROUP BY x, y),
 {p}n AS (SELECT e.*, a.node AS source, b.node AS target FROM {p}e e JOIN {p}d a ON a.x = xa AND a.y = ya JOIN {p}d b ON b.x = xb AND b.y = yb),
-{p}arc AS MATERIALIZED (SELECT source AS f, target AS t, min(w) AS c FROM {p}n WHERE w >= 0 GROUP BY ALL UNION ALL SELECT target, source, min(wr) FROM {p}n WHERE wr >= 0 GROUP BY ALL),
+{p}way AS (SELECT source AS f, target AS t, w::BIGINT AS c, 2 * edge_id AS arc FROM {p}n WHERE w >= 0 UNION ALL SELECT target, source, wr::BIGINT, 2 * edge_id + 1 FROM {p}n WHERE wr >= 0),
+{p}arc AS MATERIALIZED (SELECT f, t, c, arc, c * 68719476736 + ((arc % 1000003) * (arc % 1000003) % 1021 * (arc % 1000003) + 12345) % 1021 + 1 AS w FROM {p}way
+  QUALIFY row_number() OVER (PARTITION BY f, t ORDER BY w, arc) = 1),
 {p}start AS (SELECT owner AS start_id, arg_min(source, edge_id) AS node FROM {p}n GROUP BY owner),
-{p}lab(start_id, node, cost) USING KEY (start_id, node) AS (
-  SELECT start_id, node, 0::BIGINT FROM {p}start
-  UNION (SELECT k.start_id, k.node, k.cost FROM (
-    SELECT l.start_id, a.t AS node, min(l.cost + a.c) AS cost FROM {p}lab l JOIN {p}arc a ON a.f = l.node WHERE l.cost + a.c <= 5000 GROUP BY l.start_id, a.t) k
-    LEFT JOIN recurring.{p}lab r ON r.start_id = k.start_id AND r.node = k.node WHERE r.cost IS NULL OR k.cost < r.cost))"""
+{p}lab(start_id, node, b) USING KEY (start_id, node) AS (
+  SELECT start_id, node, {{'key': 0::BIGINT, 'arc': -2::BIGINT}} FROM {p}start
+  UNION (SELECT k.start_id, k.node, k.b FROM (
+    SELECT l.start_id, a.t AS node, min({{'key': l.b.key + a.w, 'arc': a.arc}}) AS b FROM {p}lab l JOIN {p}arc a ON a.f = l.node
+    WHERE l.b.key + a.w < 5001 * 68719476736 GROUP BY l.start_id, a.t) k
+    LEFT JOIN recurring.{p}lab r ON r.start_id = k.start_id AND r.node = k.node WHERE r.b IS NULL OR k.b < r.b)),
+{p}got AS (SELECT l.start_id, l.node, b.key AS key, b.key >> 36 AS cost, b.arc // 2 AS edge, coalesce(a.c, 0) AS step,
+  row_number() OVER (PARTITION BY l.start_id ORDER BY b.key, l.node) AS seq FROM {p}lab l LEFT JOIN {p}arc a ON a.arc = l.b.arc)"""
 
 
 def _catchment(kind: str) -> str:
     base = EDGES if kind == "community" else AUTH
-    return _q(base + _catchment_ctes(kind, "z"), "SELECT start_id, node AS node_id, (cost / 100.0)::DECIMAL(12,2) AS total_cost_to_node FROM zlab", True)
+    return _q(
+        base + _catchment_ctes(kind, "z"),
+        "SELECT start_id, seq::INTEGER AS seq, node AS node_id, edge::BIGINT AS edge_id_to_node, (step / 100.0)::DECIMAL(12,2) AS cost,"
+        " (cost / 100.0)::DECIMAL(12,2) AS total_cost_to_node FROM zgot", True,
+    )
 
 
 def _catchment_both() -> str:
     one = lambda p, k: (
-        f"SELECT start_id, count(*) AS nodes, count(*) AS last_seq, (max(cost) / 100.0)::DECIMAL(12,2) AS farthest, '{k}' AS data_basis FROM {p}lab GROUP BY start_id"
+        f"SELECT start_id, count(*) AS nodes, count(*) AS last_seq, (max(cost) / 100.0)::DECIMAL(12,2) AS farthest, '{k}' AS data_basis FROM {p}got GROUP BY start_id"
     )
     ctes = EDGES + AUTH[len(GRID):] + _catchment_ctes("authority", "a_") + _catchment_ctes("community", "c_")
     return _q(ctes, one("a_", "authority") + " UNION ALL " + one("c_", "community"), True)

@@ -378,7 +378,7 @@ def snapped_network(spark: SparkSession, d: str) -> DataFrame:
 def _catchment(spark: SparkSession, d: str, kind: str) -> DataFrame:
     edges, nodes = stages.network(spark, d, kind)
     reached = paths.catchment(edges, nodes, stages.catchment_starts(spark, d, kind), CATCHMENT_SECONDS)
-    return reached.select("start_id", "node_id", "total_cost_to_node")
+    return reached.select("start_id", "seq", "node_id", "edge_id_to_node", "cost", "total_cost_to_node")
 
 
 def catchment_community(spark: SparkSession, d: str) -> DataFrame:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from roadweave.functions.projection import reproject
 from roadweave.operators import assemble, batch, clip, compare, paths, snap, topology, weights
-from roadweave.session import pin, pin_table, side_by_side
+from roadweave.session import dense_serial, pin, pin_table, side_by_side
 from roadweave.sources import tables
 
 
 @dataclass
 class Inputs:
-    """Raw tables; lines are in the column pts, their coordinate system in srid (25832 where missing)."""
+    """Raw tables; lines are in the column pts, their coordinate system in srid (25832 where there is no such column)."""
 
     axes: DataFrame
     carriageways: DataFrame
@@ -44,20 +44,53 @@ class Results:
     status: DataFrame
     route_measures: DataFrame
 
-    def save(self, folder: str) -> None:
-        """One table per result; what exists for both data sets is partitioned by it."""
+    def save(self, folder: str, add: bool = False, catchments: DataFrame | None = None) -> None:
+        """One table per result; what exists for both data sets is partitioned by it.
+
+        With add, routes and catchments join those stored in the folder: their numbers go on from the highest stored one
+        of both data sets; networks, boxes and network measures stay as they are. The mean row of the comparison
+        belongs to the run and is kept with its route numbers' offset in `run_from`.
+        """
         both = lambda parts: [df.withColumn("data_basis", F.lit(k)) for k, df in parts.items()]
+        spark = self.boxes.sparkSession
+        put = tables.append if add else tables.write_new
+        stored = lambda name, column: spark.read.parquet(f"{folder}/{name}").select(F.col(column).alias("k"))
+        first_route = batch.next_id([stored("status", "pair_id")], "k").first().next_id if add else 1
+        moved = lambda df, column: df.withColumn(column, F.col(column) + F.lit(first_route - 1).cast("long"))
+        steps = both({k: moved(df, "pair_id") for k, df in self.steps.items()})
+        put(steps[0].unionByName(steps[1], allowMissingColumns=True), f"{folder}/route_steps", "data_basis")
+        put(moved(self.status, "pair_id"), f"{folder}/status", "data_basis")
+        number = F.when(F.col("route_id") == 0, F.col("route_id")).otherwise(F.col("route_id") + F.lit(first_route - 1).cast("long"))
+        put(self.route_measures.withColumns({"route_id": number, "run_from": F.lit(first_route).cast("long")}), f"{folder}/route_measures")
+        put(self.points.withColumn("run_from", F.lit(first_route).cast("long")), f"{folder}/points")
+        if catchments is not None:
+            self.save_catchments(catchments, folder, add)
+        if add:
+            return
         tables.write_new(self.boxes, f"{folder}/boxes")
         tables.write_new(self.network_measures, f"{folder}/network_measures")
-        tables.write_new(self.points, f"{folder}/points")
-        tables.write_new(self.route_measures, f"{folder}/route_measures")
-        for name, parts in (("edges", {k: n.edges for k, n in self.networks.items()}), ("nodes", {k: n.nodes for k, n in self.networks.items()}), ("route_steps", self.steps)):
-            first, second = both(parts)
+        for name, get in (("edges", lambda n: n.edges), ("nodes", lambda n: n.nodes), ("checks", lambda n: n.checks)):
+            first, second = both({k: get(n) for k, n in self.networks.items()})
             tables.write_new(first.unionByName(second, allowMissingColumns=True), f"{folder}/{name}", "data_basis")
 
+    def save_catchments(self, catchments: DataFrame, folder: str, add: bool = False) -> None:
+        """Store catchments under numbers of their own (catchment_id), the same for a start in both data sets."""
+        spark = catchments.sparkSession
+        first = batch.next_id([spark.read.parquet(f"{folder}/catchments").select(F.col("catchment_id").alias("k"))], "k").first().next_id if add else 1
+        numbers = dense_serial(catchments.select("start_id").distinct(), ["start_id"], "catchment_id", start=first)
+        put = tables.append if add else tables.write_new
+        put(catchments.join(numbers, "start_id"), f"{folder}/catchments", "data_basis")
+
 
-def _in_utm(df: DataFrame) -> DataFrame:
-    return reproject(df) if "srid" in df.columns else df
+def _in_utm(df: DataFrame, name: str) -> DataFrame:
+    """Lines in metres; a line whose coordinate system is missing or cannot be handled stops the analysis."""
+    if "srid" not in df.columns:
+        return df
+    moved = reproject(df)
+    odd = [r.srid for r in moved.where("pts IS NOT NULL AND (srid IS NULL OR srid <> 25832)").select("srid").distinct().take(5)]
+    if odd:
+        raise ValueError(f"{name}: lines in unknown coordinate systems: {odd}")
+    return moved
 
 
 def _network(edges: DataFrame, oneway: bool) -> Network:
@@ -71,18 +104,21 @@ def _network(edges: DataFrame, oneway: bool) -> Network:
     return Network(linked, nodes, checks)
 
 
-def run(inputs: Inputs, box: tuple[float, float, float, float] | None = None, points: int = 1000, radius: float = 5.0, seed: str = "0") -> Results:
+def run(
+    inputs: Inputs, box: tuple[float, float, float, float] | None = None, points: int = 1000, radius: float = 5.0, seed: str = "0",
+    road_inset: float = clip.ROAD_INSET, address_inset: float = clip.ADDRESS_INSET,
+) -> Results:
     """Assemble, reproject, clip, link, measure, weight, sample, route and compare.
 
     Network measures are taken before missing speeds are filled in. Routes of the community network
     pay for restricted turns; the authority data have no restrictions.
     """
-    authority = _in_utm(assemble.assemble_authority(inputs.axes, inputs.carriageways, inputs.streets))
-    ways = _in_utm(assemble.filter_car_roads(inputs.ways))
-    segments = _in_utm(inputs.segments)
+    authority = _in_utm(assemble.assemble_authority(inputs.axes, inputs.carriageways, inputs.streets), "axes")
+    ways = _in_utm(assemble.filter_car_roads(inputs.ways), "ways")
+    segments = _in_utm(inputs.segments, "segments")
     authority, ways = pin_table(authority), pin_table(ways)
 
-    boxes = pin(clip.study_boxes(authority, ways, box))
+    boxes = pin(clip.study_boxes(authority, ways, box, road_inset, address_inset))
     homes = clip.filter_points(inputs.addresses, boxes)
     authority = clip.unique_parts(clip.clip(authority, boxes))
     if inputs.oneway_patch is not None:
@@ -124,8 +160,13 @@ def run(inputs: Inputs, box: tuple[float, float, float, float] | None = None, po
 def catchments(results: Results, starts: DataFrame, seconds: float) -> DataFrame:
     """Nodes reached from sampled points (start_id) within a driving time, in both networks.
 
-    Points of the sample meet the node their route made; snapping them again changes nothing.
+    An unknown start or a driving time that is not above 0 fails before any search. The first row of each catchment has
+    the point's id and its hook length. Points of the sample meet the node their route made; snapping them again changes
+    nothing.
     """
+    if not float(seconds) > 0:
+        raise ValueError(f"driving time has to be greater than 0 seconds, got {seconds}")
+    batch.require_ids(starts, results.points, "start_id")
     out = []
     for kind, net in results.networks.items():
         put = snap.snap_points(
@@ -133,5 +174,6 @@ def catchments(results: Results, starts: DataFrame, seconds: float) -> DataFrame
             net.edges, net.nodes,
         )
         at = put.points.select(F.col("point_id").alias("start_id"), "node_id")
-        out.append(paths.catchment(put.edges, put.nodes, at, seconds).withColumn("data_basis", F.lit(kind)))
+        reached = paths.catchment(put.edges, put.nodes, at, seconds)
+        out.append(batch.attach_start_hooks(reached, put.points).withColumn("data_basis", F.lit(kind)))
     return out[0].unionByName(out[1])
