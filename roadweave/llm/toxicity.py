@@ -179,7 +179,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     out_of = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     known = known.where(~out_of & F.col("label").isin(0, 1))
-    train = docs.select(key, F.col(text).alias("text")).where(~out_of).join(known, key).select("label", "text")
+    # labels grow with the documents, so they are not broadcast, however few there are
+    train = docs.select(key, F.col(text).alias("text")).where(~out_of).join(known.hint("merge"), key).select("label", "text")
     model = {r.bucket: r.weight for r in log_odds(train).toLocalIterator()}
     weight = float(np.mean(list(model.values()))) if model else 1.0
     rare, lam = 1e-6, 1.0
