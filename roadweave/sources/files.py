@@ -10,8 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from roadweave.operators.assemble import AXIS_COLUMNS, STREET_COLUMNS, widen
-from roadweave.session import dense_serial
-from roadweave.sources.tag_rules import DELETE_TAGS, LINE_TAGS
+from roadweave.session import dense_serial, pin_table
+from roadweave.sources.tag_rules import AREA_TAGS, DELETE_TAGS, LINE_TAGS
 
 # fixed values: columns of the address register in file order
 ADDRESS_COLUMNS = [
@@ -38,7 +38,16 @@ def address_point(df: DataFrame) -> DataFrame:
 
 def read_addresses(spark: SparkSession, path: str) -> DataFrame:
     """Address register: `;`-separated, Windows-1252, no header. Ids follow the object id (OI)."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Windows-1252 is not in the default list
+    name = "spark.sql.legacy.javaCharsets"  # Windows-1252 is not in the default list
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        return _addresses(spark, path)
+    finally:
+        spark.conf.set(name, before)
+
+
+def _addresses(spark: SparkSession, path: str) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ADDRESS_COLUMNS])
     raw = spark.read.schema(schema).option("sep", ";").option("encoding", "windows-1252").csv(path)
     order = ["OI", *[c for c in ADDRESS_COLUMNS if c != "OI"]]
@@ -85,17 +94,30 @@ def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return ways.select("osm_id", F.posexplode("refs").alias("pos", "node")).join(nodes, "node")
 
 
-def read_osm_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Ways as lines in lon/lat with one column per tag; ways of fewer than two known nodes are left out."""
-    ways = read_osm_ways(spark, path)
+def is_area(refs: Column, tags: Column) -> Column:
+    """Closed ways with one of the area tags are areas, not lines."""
+    closed = (F.size(refs) > 3) & (F.get(refs, 0) == F.element_at(refs, -1))
+    return closed & F.exists(F.map_keys(tags), lambda k: k.isin(AREA_TAGS))
+
+
+def read_osm_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Ways and their segments, as the analysis takes them: (ways, segments).
+
+    Ways are lines in lon/lat with one column per tag (edge_id, osm_id, pts, srid, tags …); areas and ways of fewer than
+    two known nodes are left out. Segments (edge_id, osm_id, seg_no, pts, srid) are the same ways cut at the nodes they
+    share. edge_id numbers each table from 1, ways by osm_id, segments by (osm_id, seg_no).
+    """
+    ways = pin_table(read_osm_ways(spark, path).where(~is_area(F.col("refs"), F.col("tags"))))
+    points = pin_table(way_points(ways, read_osm_nodes(spark, path)))
     lines = (
-        way_points(ways, read_osm_nodes(spark, path))
-        .groupBy("osm_id")
+        points.groupBy("osm_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("_p"))
         .filter(F.size("_p") > 1)
         .select("osm_id", F.transform("_p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("pts"))
     )
-    return ways.join(lines, "osm_id").select("osm_id", "pts", F.lit(4326).alias("srid"), *tag_columns(F.col("tags")))
+    lines = ways.join(lines, "osm_id").select("osm_id", "pts", F.lit(4326).alias("srid"), *tag_columns(F.col("tags")))
+    cut = segment_ways(points).withColumn("srid", F.lit(4326))
+    return dense_serial(lines, ["osm_id"], "edge_id"), dense_serial(cut, ["osm_id", "seg_no"], "edge_id")
 
 
 def segment_ways(points: DataFrame) -> DataFrame:

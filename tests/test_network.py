@@ -97,6 +97,27 @@ def test_restrictions_follow_split_edges(spark):
     assert got == [(1, 2), (3, 3), (90, 2), (90, 90)]
 
 
+def test_via_paths_follow_split_edges(spark):
+    rows = [  # edge, source, target, orig, part
+        (1, 10, 11, 1, 1), (91, 11, 12, 1, 2), (2, 12, 13, 2, 1), (92, 13, 14, 2, 2), (3, 14, 15, 3, 1), (4, 15, 16, 4, 1),
+        (5, 14, 17, 5, 1), (93, 17, 12, 5, 2), (6, 14, 18, 6, 1), (94, 18, 15, 6, 2), (7, 19, 20, 7, 1), (95, 20, 15, 7, 2),
+    ]
+    edges = spark.createDataFrame(rows, "edge_id long, source long, target long, orig_edge_id long, part_no int")
+    bans = spark.createDataFrame(
+        [(1.0, 4, 3, "2,1"), (2.0, 4, 3, "5"), (3.0, 4, 6, "2"), (4.0, 7, 3, "2"), (5.0, 4, 3, "77"), (6.0, 4, 3, None), (7.0, 4, 6, "")],
+        "restriction_cost double, to_edge_id long, from_edge_id long, via_path string",
+    )
+    got = {(int(r.restriction_cost), r.to_edge_id, r.from_edge_id, r.via_path) for r in snap.remap_restrictions(bans, edges).collect()}
+    assert got == {
+        (1, 4, 3, "92,2,91,1"),  # every part, nearest first
+        (2, 4, 3, "5,93"),  # driven backward
+        (3, 4, 94, "6,92,2"),  # the edge before the turn is driven whole
+        (4, 95, 3, "92,2"),  # into the part at the shared node
+        (5, 4, 3, "77"),  # not in the network
+        (6, 4, 3, None), (7, 4, 94, ""),
+    }
+
+
 @pytest.mark.parametrize("radius", [1.0, 0.3])
 def test_merging_equals_the_one_by_one_rule(spark, radius):
     rnd = random.Random(11)

@@ -7,7 +7,7 @@ from roadweave.sources import files, tables
 
 
 def test_address_register(spark, tmp_path):
-    head = "N;{};A;03;0;00;000;0000;00000;{};;{};{};{};26382;Wilhelmshaven;;"
+    head = "N;{};A;03;0;00;000;0000;00000;{};;{};{};{};12345;Musterstadt;;"
     rows = [
         head.format("DENI000000000002", "12", "32440123,5", "5930001,25", "Süßstraße €"),
         head.format("DENI000000000001", "1", "32324400,5", "5930000,5", "Am Weg"),
@@ -28,6 +28,7 @@ OSM = """<?xml version='1.0' encoding='UTF-8'?>
  <node id="4" lat="53.6" lon="8.2"/>
  <way id="10"><nd ref="1"/><nd ref="2"/><nd ref="3"/><tag k="highway" v="primary"/><tag k="note:de" v="x"/><tag k="source:maxspeed" v="sign"/></way>
  <way id="11"><nd ref="2"/><nd ref="4"/><tag k="highway" v="track"/><tag k="tiger:zip" v="1"/></way>
+ <way id="13"><nd ref="1"/><nd ref="3"/><nd ref="4"/><nd ref="1"/><tag k="highway" v="service"/><tag k="area:highway" v="yes"/></way>
  <way id="12"><nd ref="4"/><nd ref="99"/><tag k="highway" v="service"/></way>
 </osm>"""
 
@@ -35,17 +36,20 @@ OSM = """<?xml version='1.0' encoding='UTF-8'?>
 def test_community_xml(spark, tmp_path):
     path = tmp_path / "a.osm"
     path.write_text(OSM)
-    ways = files.read_osm_xml(spark, str(path))
+    ways, segments = files.read_osm_xml(spark, str(path))
     got = {r.osm_id: r for r in ways.collect()}
-    assert sorted(got) == [10, 11]  # way 12 has one known node only
+    assert sorted(got) == [10, 11]  # way 12 has one known node only, way 13 is an area
     assert [(p.x, p.y) for p in got[10].pts] == [(8.1, 53.5), (8.2, 53.5), (8.3, 53.5)]
+    assert [got[k].edge_id for k in (10, 11)] == [1, 2]
+    assert [(r.edge_id, r.osm_id, r.seg_no, r.srid) for r in segments.orderBy("edge_id").collect()] == [(1, 10, 1, 4326), (2, 10, 2, 4326), (3, 11, 1, 4326)]
     assert got[10]["source:maxspeed"] == "sign" and got[10].srid == 4326
     assert rename_tags(ways).filter("osm_id = 10").first().source_maxspeed == "sign"
     assert [r.osm_id for r in filter_car_roads(ways).collect()] == [10]
     tags = {r.osm_id: r.tags for r in files.read_osm_ways(spark, str(path)).collect()}
     assert tags[10] == {"highway": "primary", "source:maxspeed": "sign"} and tags[11] == {"highway": "track"}
 
-    points = files.way_points(files.read_osm_ways(spark, str(path)), files.read_osm_nodes(spark, str(path)))
+    lines = files.read_osm_ways(spark, str(path)).where("osm_id <> 13")
+    points = files.way_points(lines, files.read_osm_nodes(spark, str(path)))
     cut = {(r.osm_id, r.seg_no): [p.x for p in r.pts] for r in files.segment_ways(points).collect()}
     assert cut == {(10, 1): [8.1, 8.2], (10, 2): [8.2, 8.3], (11, 1): [8.2, 8.2]}
 
