@@ -73,20 +73,63 @@ def tag_columns(tags: Column, columns: list[str] | None = None) -> list[Column]:
     return [F.try_element_at(tags, F.lit(t)).alias(t) for t in (columns or LINE_TAGS)]
 
 
-_XML_TAG = "tag array<struct<_k:string,_v:string>>"
+def _attribute(body: Column, name: str) -> Column:
+    """Value of an XML attribute, its five named references decoded; NULL where it is missing."""
+    quoted = F.regexp_extract(body, rf"(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
+    value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    for code, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        value = F.replace(value, F.lit(code), F.lit(c))
+    return F.when(quoted != "", value)
 
 
-def read_osm_nodes(spark: SparkSession, path: str) -> DataFrame:
-    nodes = spark.read.format("xml").option("rowTag", "node").schema("_id long, _lat double, _lon double").load(path)
-    return nodes.select(F.col("_id").alias("node"), F.col("_lon").alias("x"), F.col("_lat").alias("y"))
+def osm_records(spark: SparkSession, path: str) -> DataFrame:
+    """The node, way, relation, nd and tag elements of a community file, in one pass that Spark can divide.
 
-
-def read_osm_ways(spark: SparkSession, path: str) -> DataFrame:
-    """osm_id, refs (node ids in order), tags (map, import rules applied)."""
-    ways = spark.read.format("xml").option("rowTag", "way").schema(f"_id long, nd array<struct<_ref:long>>, {_XML_TAG}").load(path)
-    pairs = F.transform("tag", lambda t: F.struct(t["_k"], t["_v"]))
-    tags = F.map_from_entries(F.coalesce(pairs, F.array().cast("array<struct<_k:string,_v:string>>")))
-    return ways.select(F.col("_id").alias("osm_id"), F.transform("nd", lambda n: n["_ref"]).alias("refs"), kept_tags(tags).alias("tags"))
+    The file is read as text that ends a record at every `>` (which attribute values must escape, as exports do), so large
+    files are split like any other text. → kind, id, x, y, ref, k, v, empty (has no children), file, block, nth; block is
+    where the split begins in the file, nth grows within it.
+    """
+    text = spark.read.option("lineSep", ">").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("nth"),
+    )
+    element = r"<(node|way|relation|nd|tag)(\s[^<]*)$"
+    found = text.withColumns({"kind": F.regexp_extract("value", element, 1), "body": F.regexp_extract("value", element, 2)})
+    found = found.where("kind <> ''")
+    get = lambda name: _attribute(F.col("body"), name)
+    return found.select(
+        "kind", get("id").cast("long").alias("id"), get("lon").cast("double").alias("x"), get("lat").cast("double").alias("y"),
+        get("ref").cast("long").alias("ref"), get("k").alias("k"), get("v").alias("v"), F.col("body").endswith("/").alias("empty"), "file", "block", "nth",
+    )
+
+
+def read_osm_nodes(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
+    records = osm_records(spark, path) if records is None else records
+    return records.where("kind = 'node'").select(F.col("id").alias("node"), "x", "y")
+
+
+def read_osm_ways(spark: SparkSession, path: str, records: DataFrame | None = None) -> DataFrame:
+    """osm_id, refs (node ids in order), tags (map, import rules applied); ways without any child are left out.
+
+    A child belongs to the last node, way or relation that began before it: within a block by a window over the block (whose
+    size Spark bounds), at a block's beginning by the last one begun in the blocks before, one row per block.
+    """
+    records = osm_records(spark, path) if records is None else records
+    c = F.col
+    rows = records.where("kind IN ('nd', 'tag') OR NOT empty")
+    begun = F.when(c("kind").isin("node", "way", "relation"), F.struct("kind", "id"))
+    last = rows.groupBy("file", "block").agg(F.max_by(begun, F.when(begun.isNotNull(), c("nth"))).alias("_own"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    last = last.select("file", "block", F.last("_own", ignorenulls=True).over(earlier).alias("_before"))
+    here = W.partitionBy("file", "block").orderBy("nth").rowsBetween(W.unboundedPreceding, 0)
+    owned = rows.withColumn("_own", F.last(begun, ignorenulls=True).over(here)).join(last, ["file", "block"])
+    owned = owned.where("kind IN ('nd', 'tag')").withColumn("_own", F.coalesce("_own", "_before")).where("_own.kind = 'way'")
+    nd = F.collect_list(F.when(c("kind") == "nd", F.struct("block", "nth", "ref")))
+    tags = F.collect_list(F.when(c("kind") == "tag", F.struct("k", "v")))
+    ways = owned.groupBy(c("_own.id").alias("osm_id")).agg(nd.alias("_nd"), tags.alias("_tags"))
+    return ways.select(
+        "osm_id", F.transform(F.array_sort("_nd"), lambda n: n["ref"]).alias("refs"), kept_tags(F.map_from_entries("_tags")).alias("tags")
+    )
 
 
 def way_points(ways: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,8 +150,9 @@ def read_osm_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     two known nodes are left out. Segments (edge_id, osm_id, seg_no, pts, srid) are the same ways cut at the nodes they
     share. edge_id numbers each table from 1, ways by osm_id, segments by (osm_id, seg_no).
     """
-    ways = pin_table(read_osm_ways(spark, path).where(~is_area(F.col("refs"), F.col("tags"))))
-    points = pin_table(way_points(ways, read_osm_nodes(spark, path)))
+    records = pin_table(osm_records(spark, path))
+    ways = pin_table(read_osm_ways(spark, path, records).where(~is_area(F.col("refs"), F.col("tags"))))
+    points = pin_table(way_points(ways, read_osm_nodes(spark, path, records)))
     lines = (
         points.groupBy("osm_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))).alias("_p"))

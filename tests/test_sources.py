@@ -54,6 +54,27 @@ def test_community_xml(spark, tmp_path):
     assert cut == {(10, 1): [8.1, 8.2], (10, 2): [8.2, 8.3], (11, 1): [8.2, 8.2]}
 
 
+def test_large_community_xml_is_divided(spark, tmp_path):
+    """Whatever the splits, ways keep their nodes in order and their tags."""
+    n = 3000
+    nodes = "".join(f'<node id="{i}" lat="53.{i:04d}" lon=\'8.{i:04d}\'><tag k="highway" v="crossing"/></node>\n' for i in range(n))
+    ways = "".join(f'<way id="{100 + k}" visible="true"><nd ref="{k}"/>\n' + "".join(f'<nd ref="{(k + j) % n}"/>' for j in range(1, 40)) + f'<tag k="name" v="A &amp;amp; &lt;{k}&gt;"/></way>\n' for k in range(300))
+    path = tmp_path / "big.osm"
+    path.write_text(f"<osm>{nodes}{ways}<relation id='5'><member type='way' ref='100'/><tag k='type' v='route'/></relation></osm>")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        records = files.osm_records(spark, str(path))
+        assert records.rdd.getNumPartitions() > 8
+        got = {r.osm_id: (r.refs, r.tags) for r in files.read_osm_ways(spark, str(path)).collect()}
+        assert files.read_osm_nodes(spark, str(path)).distinct().count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {100 + k: ([(k + j) % n for j in range(40)], {"name": f"A &amp; <{k}>"}) for k in range(300)}
+
+
 AUTHORITY = """<?xml version="1.0" encoding="UTF-8"?>
 <AX_Bestandsdatenauszug xmlns:gml="g" xmlns:xlink="x"><enthaelt>
 <AX_Strassenachse gml:id="DENI1"><modellart><AA_Modellart><advStandardModell>DLM50</advStandardModell></AA_Modellart>
