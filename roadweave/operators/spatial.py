@@ -6,10 +6,12 @@ spill and split it. Cells are refined where they are crowded; nothing is compare
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from roadweave.functions.geometry import distance, segments, with_foot
 from roadweave.session import pin, pin_table
@@ -172,8 +174,9 @@ def nearest_edge(
     With `by`, a point only looks at edges that agree with it in these columns.
 
     A point looks at the 3 × 3 cells around it. A hit not farther than one cell width cannot be beaten
-    from outside, so it is final; the other points try again with cells twice as wide. Points near a
-    cell of more than `crowd` segments begin with cells an eighth as wide, so that they meet few of them.
+    from outside, so it is final; the other points try again with cells twice and four times as wide, and the
+    rest descends through the occupied cells (see _descend), so that no cell ever holds all segments. Points near
+    a cell of more than `crowd` segments begin with cells an eighth as wide, so that they meet few of them.
     """
     by = by or []
     segs = pin_table(segments(edges, [*by, "edge_id"]))
@@ -200,18 +203,53 @@ def _settle(waiting: DataFrame, segs: DataFrame, size: float, widest: float, by:
         near = pin(seen.join(full, [*by, *CELL], "left_semi").select(*ids, "x", "y").distinct())
         done += _settle(near, segs, size / 8, widest, by, crowd)
         waiting = waiting.join(near.select(*ids), ids, "left_anti")
-    while True:
+    start = size
+    for _ in range(3):
         seen = waiting.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), size, size)))
         hits = with_foot(seen.join(tile_segments(segs, size), [*by, *CELL]), "x", "y")
         best = hits.groupBy(*ids).agg(F.min(F.struct("dist", "edge_id", "seg_no", "t", "qx", "qy")).alias("_b"))
-        last = size > widest
-        settled = F.lit(True) if last else F.coalesce(F.col("_b.dist") <= size, F.lit(False))
+        settled = F.coalesce(F.col("_b.dist") <= size, F.lit(False))
         found = pin(waiting.join(best, ids, "left").withColumn("_ok", settled))
         done.append(found.filter("_ok").select(*ids, "x", "y", *[F.col(f"_b.{c}").alias(c) for c in columns]))
         waiting = found.filter("NOT _ok").select(*ids, "x", "y")
-        if last or waiting.isEmpty():
+        if waiting.isEmpty():
             return done
         size *= 2
+    return [*done, _descend(pin(waiting), segs, start, widest, by)]
+
+
+def _descend(waiting: DataFrame, segs: DataFrame, size: float, widest: float, by: list[str]) -> DataFrame:
+    """nearest_edge for points far from all edges: from wide cells down to narrow ones, over occupied cells only.
+
+    Cells of a level are pairs of the level below; a table per level lists those that hold any segment. A point begins at
+    the level where four cells cover everything. An occupied cell has an edge no farther than its farthest corner, so
+    the nearest of these bounds the answer, and only cells that reach within the bound are opened further. At the
+    narrowest level the segments of the few cells left are measured. Points that agree with no edge in `by` get NULLs.
+    """
+    ids, c = [*by, "point_id"], F.col
+    tiles = pin_table(tile_segments(segs, size))
+    levels = max(1, math.ceil(math.log2(widest / size)) + 1)
+    cells = [pin_table(tiles.select(*by, *CELL).distinct())]
+    for _ in range(levels):
+        cells.append(cells[-1].select(*by, F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy")).distinct())
+    top = cells[-1].withColumn("_all", F.lit(0))  # at most four cells for each value of `by`
+    open_cells = waiting.withColumn("_all", F.lit(0)).join(top, [*by, "_all"]).drop("_all")
+    for level in range(levels, -1, -1):
+        wide = size * 2**level
+        if level < levels:
+            inner = cells[level].select(*by, c("ix").alias("_jx"), c("iy").alias("_jy"), F.shiftright("ix", 1).alias("ix"), F.shiftright("iy", 1).alias("iy"))
+            open_cells = open_cells.join(inner, [*by, *CELL]).drop(*CELL).withColumnsRenamed({"_jx": "ix", "_jy": "iy"})
+        out = lambda v, i: F.greatest(i * wide - v, v - (i + 1) * wide, F.lit(0.0))  # noqa: E731, B023
+        far = lambda v, i: F.greatest(F.abs(i * wide - v), F.abs((i + 1) * wide - v))  # noqa: E731, B023
+        nearest, farthest = F.hypot(out(c("x"), c("ix")), out(c("y"), c("iy"))), F.hypot(far(c("x"), c("ix")), far(c("y"), c("iy")))
+        bound = F.min(farthest).over(W.partitionBy(*ids))
+        open_cells = open_cells.withColumn("_bound", bound).filter(nearest <= c("_bound") * (1 + 1e-9) + 1e-6).drop("_bound")
+        if level % 4 == 0:
+            open_cells = pin(open_cells)
+    hits = with_foot(open_cells.join(tiles, [*by, *CELL]), "x", "y")
+    best = hits.groupBy(*ids).agg(F.min(F.struct("dist", "edge_id", "seg_no", "t", "qx", "qy")).alias("_b"))
+    columns = ["edge_id", "seg_no", "t", "qx", "qy", "dist"]
+    return waiting.join(best, ids, "left").select(*ids, "x", "y", *[c(f"_b.{n}").alias(n) for n in columns])
 
 
 def _no_hits(points: DataFrame) -> DataFrame:

@@ -161,6 +161,24 @@ def test_nearest_edge_equals_brute_force(spark, crowd):
         assert r.edge_id == want[1] and abs(r.dist - want[0]) < 1e-9
 
 
+def test_nearest_edge_of_far_points(spark, monkeypatch):
+    """Points up to 1,000 km away meet few segments, and none of all."""
+    rnd = random.Random(5)
+    edges = {k: [(x := rnd.uniform(-9000, 9000), y := rnd.uniform(-9000, 9000)), (x + rnd.uniform(-90, 90), y + rnd.uniform(-90, 90))] for k in range(4000)}
+    points = {1: (1e6, 3.0), 2: (-2e5, -7e5), 3: (20000, 20000), 4: (0.0, 1e6), 5: (9400.0, -9300.0), 6: edges[7][0], 7: (-9000.0, 12000.0)}
+    looked = []
+    plain = spatial.with_foot
+    monkeypatch.setattr(spatial, "with_foot", lambda df, *a: looked.append(df.count()) or plain(df, *a))
+    got = spatial.nearest_edge(
+        spark.createDataFrame([(k, *map(float, p)) for k, p in points.items()], "point_id long, x double, y double"), lines(spark, edges.items())
+    ).collect()
+    assert len(got) == len(points)
+    for r in got:
+        d, e = min((foot(points[r.point_id], *edges[k])[2], k) for k in edges)
+        assert r.edge_id == e and abs(r.dist - d) < 1e-6 * max(1, d)
+    assert looked[-1] < 400, looked
+
+
 def test_nearest_edge_of_nothing(spark):
     none = spark.createDataFrame([], f"edge_id long, pts {LINE}")
     got = spatial.nearest_edge(spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, x double, y double"), none).collect()
