@@ -266,6 +266,54 @@ m AS (SELECT *, sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) AS len FROM part)"""
     )
 
 
+# ---------------------------------------------------------------- snapping
+
+def _snapped() -> str:
+    """Points take a node within 0.25 m of their foot point, or make one, one after the other in id order."""
+    gap = lambda a, b: f"sqrt(pow({a}.qx - {b}.x, 2) + pow({a}.qy - {b}.y, 2))"
+    return EDGES + _near("cw") + f""",
+nd AS (SELECT x, y, min(k) AS node FROM (SELECT x1 AS x, y1 AS y, 2 * edge_id AS k FROM cw UNION ALL SELECT x2, y2, 2 * edge_id + 1 FROM cw) GROUP BY x, y),
+above AS (SELECT max(node) + 1 AS n FROM nd),
+old AS (SELECT point_id, min({{'d': d, 'node': node}}) AS o FROM (SELECT near.point_id, nd.node, {gap("near", "nd")} AS d FROM near JOIN nd
+  ON nd.x BETWEEN near.qx - 0.25 AND near.qx + 0.25 AND nd.y BETWEEN near.qy - 0.25 AND near.qy + 0.25) WHERE d <= 0.25 GROUP BY point_id),
+free AS MATERIALIZED (SELECT row_number() OVER (ORDER BY point_id) AS rn, point_id, qx, qy FROM near WHERE point_id NOT IN (SELECT point_id FROM old)),
+made(rn, point_id, maker, x, y) USING KEY (rn) AS (
+  SELECT rn, point_id, point_id, qx, qy FROM free WHERE rn = 1
+  UNION (SELECT rn, point_id, coalesce(min(m).maker, point_id), qx, qy FROM (
+    SELECT f.*, CASE WHEN r.maker IS NOT NULL THEN {{'d': {gap("f", "r")}, 'maker': r.maker}} END AS m
+    FROM made l JOIN free f ON f.rn = l.rn + 1 LEFT JOIN recurring.made r ON r.maker = r.point_id AND {gap("f", "r")} <= 0.25) GROUP BY rn, point_id, qx, qy)),
+mk AS (SELECT point_id, x, y FROM made WHERE maker = point_id),
+rival AS (SELECT point_id, min({{'d': d, 'maker': maker}}) AS r FROM (SELECT near.point_id, mk.point_id AS maker, {gap("near", "mk")} AS d
+  FROM near JOIN old USING (point_id) JOIN mk ON mk.point_id < near.point_id AND mk.x BETWEEN near.qx - 0.25 AND near.qx + 0.25) WHERE d <= 0.25 GROUP BY point_id),
+taken AS (SELECT point_id, maker, NULL::BIGINT AS node FROM made
+  UNION ALL SELECT point_id, CASE WHEN r.d < o.d THEN r.maker END, CASE WHEN r.d < o.d THEN NULL ELSE o.node END FROM old LEFT JOIN rival USING (point_id)),
+place AS (SELECT point_id, coalesce(n + maker, node) AS node_id FROM taken, above),
+spot AS (SELECT node AS node_id, x, y FROM nd UNION ALL SELECT n + point_id, x, y FROM mk, above)"""
+
+
+def _snapped_points() -> str:
+    return _q(
+        _snapped(),
+        "SELECT point_id, node_id, edge_id, sqrt(pow(addr.x - spot.x, 2) + pow(addr.y - spot.y, 2))::DECIMAL(9,4) AS hook_length"
+        " FROM near JOIN place USING (point_id) JOIN spot USING (node_id) JOIN addr ON addr.id = point_id", True,
+    )
+
+
+def _remapped() -> str:
+    ctes = _snapped() + """,
+top AS (SELECT max(edge_id) + 1 AS top FROM cw),
+cut AS (SELECT edge_id, arg_max(near.point_id, {'t': t, 'p': near.point_id}) AS lastcut FROM near JOIN mk USING (point_id) GROUP BY edge_id),
+part AS (SELECT cw.edge_id, lastcut IS NULL AS entire, coalesce(top + lastcut, cw.edge_id) AS lastpart, a.node AS s, b.node AS t
+  FROM cw CROSS JOIN top LEFT JOIN cut USING (edge_id) JOIN nd a ON a.x = x1 AND a.y = y1 JOIN nd b ON b.x = x2 AND b.y = y2),
+bans AS (SELECT DISTINCT i AS f, i + d AS e FROM (SELECT o_orderkey AS i FROM orders), (VALUES (0), (2)) AS v(d) WHERE (d = 2 AND i % 10 = 0) OR (d = 0 AND i % 37 = 0) OR i % 370 = 0),
+pairs AS (SELECT bans.f, bans.e, coalesce(pf.lastpart, bans.f) AS fl, coalesce(pe.lastpart, bans.e) AS el, coalesce(pf.entire, true) AND coalesce(pe.entire, true) AS entire,
+  pf.s AS fs, pf.t AS ft, pe.s AS es, pe.t AS et FROM bans LEFT JOIN part pf ON pf.edge_id = bans.f LEFT JOIN part pe ON pe.edge_id = bans.e),
+turn AS (SELECT f, e FROM pairs WHERE entire OR f = e UNION SELECT fl, el FROM pairs WHERE NOT entire AND f = e
+  UNION SELECT fl, e FROM pairs WHERE NOT entire AND f <> e AND ft = es UNION SELECT fl, el FROM pairs WHERE NOT entire AND f <> e AND ft = et
+  UNION SELECT f, e FROM pairs WHERE NOT entire AND f <> e AND fs = es UNION SELECT f, el FROM pairs WHERE NOT entire AND f <> e AND fs = et)"""
+    return _q(ctes, "SELECT 10000.0::DOUBLE AS restriction_cost, e::BIGINT AS to_edge_id, f::BIGINT AS from_edge_id, NULL::VARCHAR AS via_path FROM turn", True)
+
+
 # ---------------------------------------------------------------- catchment
 
 def _catchment_ctes(kind: str, tag: str) -> str:
@@ -475,6 +523,8 @@ nn AS (SELECT point_id, min(struct_pack(d := sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy)),
         "SELECT point_id, b.n AS node_id, b.d::DECIMAL(9,4) AS node_dist FROM nn",
     )
     out["split_edges"] = _split()
+    out["snapped_points"] = _snapped_points()
+    out["restriction_remap"] = _remapped()
     out["catchment_community"] = _catchment("community")
     out["catchment_authority"] = _catchment("authority")
     out["catchment_both"] = _catchment_both()
