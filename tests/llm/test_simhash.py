@@ -65,3 +65,35 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7), (None, 3)], "a long, b long").repartition(16)
     got = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
+
+
+def test_similar_documents(spark):
+    """Edited copies are found, other documents are left alone, and a large group of near copies is one group."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, group = [], {}
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 400))]
+        for c in range(rng.randrange(1, 4)):
+            mine = list(words)
+            for _ in range(len(words) // 80 if c else 0):  # a changed word costs five shingles
+                mine[rng.randrange(len(mine))] = rng.choice(vocabulary)
+            group[len(rows)] = k
+            rows.append((len(rows), " ".join(mine)))
+    large = [rng.choice(vocabulary) for _ in range(300)]
+    for _ in range(150):
+        mine = list(large)
+        mine[rng.randrange(300)] = rng.choice(vocabulary)
+        group[len(rows)] = 99
+        rows.append((len(rows), " ".join(mine)))
+    rows += [(1000, None), (1001, ""), (1002, "one two"), (None, "one two")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(table).collect()}
+    assert got[1000] == got[1001] == 1000 and got[1002] == got[None] == 1002
+    for i, k in group.items():
+        assert group[got[i]] == k  # never across groups
+    firsts = {}
+    for i, k in group.items():
+        firsts.setdefault(k, i)
+    assert sum(got[i] == firsts[k] for i, k in group.items()) > 0.95 * len(group)
+    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
