@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 
+# fixed values: refused access, road classes
 _NO = "('no','private','customers','permit','agricultural','forestry','delivery','destination')"
 _CLASSES = (
     "['motorway','motorway_link','trunk','trunk_link','primary','primary_link','secondary','secondary_link',"
@@ -45,6 +46,9 @@ allowed AS (SELECT *, (access IS NULL OR access NOT IN {_NO}) AND (vehicle IS NU
 car AS (SELECT * FROM allowed WHERE ok AND highway NOT IN ('track','footway')
   AND (service IS NULL OR service NOT IN ('parking_aisle','emergency_access')))"""
 
+# fixed values: speeds by dedication
+_DEDICATION = "CASE widmung WHEN 1301 THEN 130 WHEN 1303 THEN 100 WHEN 1305 THEN 70 WHEN 1306 THEN 50 WHEN 1307 THEN 30 WHEN 9999 THEN 30 END"
+# fixed values: speeds by class and tags; given speeds come first here, last in the operator, whose rules only fill gaps
 _SPEED = """CASE
   WHEN (maxspeed = 'none' OR maxspeed IS NULL) AND highway = 'motorway' THEN '130'
   WHEN (maxspeed = 'none' OR maxspeed IS NULL) AND highway = 'motorway_link' THEN '55'
@@ -94,7 +98,7 @@ ae AS (SELECT roads.* EXCLUDE (edge_id), widmung, name, bezeichnung, row_number(
   round((sqrt((ax2-ax1)*(ax2-ax1)+(ay2-ay1)*(ay2-ay1)) + sqrt((ax3-ax2)*(ax3-ax2)+(ay3-ay2)*(ay3-ay2))) * 10000)::BIGINT AS len4
   FROM roads LEFT JOIN street ON istTeilVon = gml WHERE widmung IS DISTINCT FROM 9997),
 aw AS (SELECT *, CASE WHEN zustand IS NOT NULL THEN -100 ELSE {_CS} END AS w
-  FROM (SELECT *, CASE widmung WHEN 1301 THEN 130 WHEN 1303 THEN 100 WHEN 1305 THEN 70 WHEN 1306 THEN 50 WHEN 1307 THEN 30 WHEN 9999 THEN 30 END AS v FROM ae))"""
+  FROM (SELECT *, {_DEDICATION} AS v FROM ae))"""
 
 
 def _q(ctes: str, select: str, recursive: bool = False) -> str:
@@ -454,7 +458,7 @@ s AS (SELECT *, 1 + sum((uses > 1 AND rn > 1)::INT) OVER (PARTITION BY way ORDER
     out["speed_community"] = _q(WAYS, f"SELECT edge_id, {_SPEED} AS maxspeed FROM ways")
     out["speed_authority"] = _q(
         AXES,
-        "SELECT gml AS gml_id, widmung, CASE widmung WHEN 1301 THEN 130 WHEN 1303 THEN 100 WHEN 1305 THEN 70 WHEN 1306 THEN 50 WHEN 1307 THEN 30 WHEN 9999 THEN 30 END AS maxspeed FROM street",
+        f"SELECT gml AS gml_id, widmung, {_DEDICATION} AS maxspeed FROM street",
     )
     out["weights_community"] = _q(EDGES, f"SELECT edge_id, {_LEN} AS distance, {_SEC('w')} AS weights_car, {_SEC('wr')} AS weights_car_reverse FROM cw")
     out["weights_authority"] = _q(AUTH, f"SELECT edge_id, {_LEN} AS distance, v AS maxspeed, {_SEC('w')} AS weights_car, {_SEC('w')} AS weights_car_reverse FROM aw")
