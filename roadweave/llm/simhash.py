@@ -104,6 +104,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(nodes, "fp").select(key, "fp", "component")
 
 
+def _grid(heads: DataFrame, max_distance: int) -> DataFrame:
+    """(fp, fq, half, g, c): the cells of _cells for both longs, written as loops over digits, which keeps the plan small."""
+    groups = max_distance // 3 + 1
+    parts = []
+    for half in ("fp", "fq"):
+        for g in range(groups):
+            first, last = (BITS * g // groups) // 2 * 2, (BITS * (g + 1) // groups) // 2 * 2
+            x = F.shiftrightunsigned(half, first).bitwiseAND(F.lit((1 << (last - first)) - 1))
+            counts = x.bitwiseAND(F.lit(_LOW)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
+            parts.append(F.struct(F.lit(half == "fq").alias("half"), F.lit(g).alias("g"), counts.alias("e"), F.lit(last - first).alias("n")))
+    embedded = heads.select("fp", "fq", F.inline(F.array(*parts)))
+    around = F.expr(
+        "concat(array(e), filter(flatten(transform(sequence(0, n - 2, 2), i -> array("
+        "if((shiftrightunsigned(e, i) & 3L) < 2, e + shiftleft(1L, i), NULL), if((shiftrightunsigned(e, i) & 3L) > 0, e - shiftleft(1L, i), NULL)))),"
+        " z -> z IS NOT NULL))"
+    )
+    return embedded.select("fp", "fq", "half", "g", F.explode(around).alias("c"))
+
+
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(key, component) per row of docs: groups of documents whose word shingles are estimated to be this similar.
 
@@ -129,8 +148,7 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     close = connected_components(links(fps), "a", "b").select(F.col("node").alias("fp"), "root")
     nodes = pin_table(nodes.join(close, "fp", "left").select("fp", "fq", "least", F.coalesce("root", "fp").alias("root")))
     heads = nodes.where("fp = root").select("fp", "fq")
-    cells = [heads.select("fp", "fq", F.lit(c == "fq").alias("half"), F.explode(_cells(F.col(c), 8)).alias("cell")) for c in ("fp", "fq")]
-    cells = cells[0].unionByName(cells[1]).where("cell is not null").select("fp", "fq", "half", "cell.g", "cell.c")
+    cells = _grid(heads, 8)
     a, b = (cells.select(F.col("fp").alias(f"{p}p"), F.col("fq").alias(f"{p}q"), "half", "g", "c") for p in "ab")
     apart = F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) + F.bit_count(F.col("aq").bitwiseXOR(F.col("bq")))
     pairs = a.join(b, ["half", "g", "c"]).where((F.col("ap") < F.col("bp")) & (apart <= most)).select("ap", "bp").distinct()
