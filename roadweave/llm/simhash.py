@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -15,27 +16,29 @@ from roadweave.llm.components import connected_components
 from roadweave.session import pin_table
 
 BITS, SEED, STEP = 64, 42, 1 << 16
+#: Of similar_documents: bits of a fingerprint, tables for all pairs and for close ones, standard deviations above the expected distance, a large group.
+WIDE, LOOSE, TIGHT, SPREAD, LARGE = 256, 48, 16, 4, 32
 _LOW = 0x5555555555555555  # the lower bit of every segment of two bits
 
 
-def fingerprint(text: bytes, shingle: int, bits: int = BITS) -> int:
+def fingerprint(text: bytes, shingle: int, bits: int = BITS, seed: int = SEED) -> int:
     """Bit i is set if it is set in over half the hashes of the word shingles (repeats included).
 
-    Hashes are XXH64 with seed 42, or the 128 bits of XXH3 for a fingerprint of that width.
+    Hashes are XXH64 with a seed (42), or the 128 bits of XXH3 for a fingerprint of that width.
     """
     hashed = xxhash.xxh64_intdigest if bits == BITS else xxhash.xxh3_128_intdigest
     found = words(text.lower())  # bytes.lower() changes A-Z only
     if not found:
         return 0
     if len(found) <= shingle:
-        return hashed(b" ".join(found), SEED)
+        return hashed(b" ".join(found), seed)
     joined = b" ".join(found)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts, ends = np.concatenate(([0], ends[:-shingle])), ends[shingle - 1 :] - 1
     total, counts = len(starts), np.zeros(bits, np.int64)
     for at in range(0, total, STEP):  # a very long text takes bounded memory
         part = zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist(), strict=True)
-        h = np.frombuffer(b"".join(hashed(joined[a:b], SEED).to_bytes(bits // 8, "little") for a, b in part), np.uint8)
+        h = np.frombuffer(b"".join(hashed(joined[a:b], seed).to_bytes(bits // 8, "little") for a, b in part), np.uint8)
         counts += np.unpackbits(h.reshape(-1, bits // 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(counts * 2 > total, bitorder="little").tobytes(), "little")
 
@@ -104,58 +107,104 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(nodes, "fp").select(key, "fp", "component")
 
 
-def _grid(heads: DataFrame, max_distance: int) -> DataFrame:
-    """(fp, fq, half, g, c): the cells of _cells for both longs, written as loops over digits, which keeps the plan small."""
-    groups = max_distance // 3 + 1
-    parts = []
-    for half in ("fp", "fq"):
-        for g in range(groups):
-            first, last = (BITS * g // groups) // 2 * 2, (BITS * (g + 1) // groups) // 2 * 2
-            x = F.shiftrightunsigned(half, first).bitwiseAND(F.lit((1 << (last - first)) - 1))
-            counts = x.bitwiseAND(F.lit(_LOW)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
-            parts.append(F.struct(F.lit(half == "fq").alias("half"), F.lit(g).alias("g"), counts.alias("e"), F.lit(last - first).alias("n")))
-    embedded = heads.select("fp", "fq", F.inline(F.array(*parts)))
-    around = F.expr(
-        "concat(array(e), filter(flatten(transform(sequence(0, n - 2, 2), i -> array("
-        "if((shiftrightunsigned(e, i) & 3L) < 2, e + shiftleft(1L, i), NULL), if((shiftrightunsigned(e, i) & 3L) > 0, e - shiftleft(1L, i), NULL)))),"
-        " z -> z IS NOT NULL))"
-    )
-    return embedded.select("fp", "fq", "half", "g", F.explode(around).alias("c"))
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct XXH64 hashes of the word shingles of a text in lower case, as signed longs; a shorter text is one shingle."""
+    found = words(text.lower())
+    n = max(1, len(found) - shingle + 1) if found else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
+
+
+def _sampled(nodes: DataFrame, carried: list[str], tables: int, bits: int) -> DataFrame:
+    """(carried, cell) per node and table: a table's cell is the number of the table and so many fixed bits of f0 to f3."""
+    rng = random.Random(SEED + bits)
+    places = np.array([rng.sample(range(WIDE), bits) for _ in range(tables)])
+    kinds = ", ".join(f"{c} long" for c in [*carried, "cell"])
+
+    def make(batch: pa.RecordBatch) -> dict:
+        n = batch.num_rows
+        fps = np.stack([batch.column(f"f{i}").to_numpy() for i in range(WIDE // 64)], axis=1)
+        have = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+        out = np.zeros((n, tables), np.int64)
+        for i in range(bits):
+            out = out * 2 + have[:, places[:, i]]
+        cells = pa.array((out + (np.arange(tables, dtype=np.int64) << bits)).reshape(-1))
+        at = pa.array(np.repeat(np.arange(n), tables))
+        return {**{c: batch.column(c).take(at) for c in carried}, "cell": cells}
+
+    return arrow_rows(nodes, kinds, make)
+
+
+def _near(similarity: float) -> Column:
+    """Whether (f0, f1) and (g0, g1) differ in at most the expected number of bits and SPREAD standard deviations."""
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
+    return apart <= math.floor(128 * chance + SPREAD * math.sqrt(128 * chance * (1 - chance)))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least this; docs has (node, text)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.join(wanted, "node", "leftsemi").groupBy("node").agg(F.min("text").alias("text"))
+
+    def make(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "s": [shingle_set(t, shingle) for t in text_bytes(batch.column(1))]}
+
+    sets = pin_table(arrow_rows(texts.select("node", "text"), "node long, s array<long>", make))
+    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    # sets of very different sizes are never this similar
+    sized = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    same = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9
+    return pin_table(pairs.join(a, "a").join(b, "b").where(sized).where(same).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component) per row of docs: groups of documents whose word shingles are estimated to be this similar.
-
-    Sets of similarity (Jaccard) s have a cosine of about 2s / (1 + s), and a SimHash bit differs with a chance of the
-    angle by pi. Fingerprints of 128 bits are linked at up to the expected number of differing bits and one standard
-    deviation, 23 for 0.8: this finds about 80 of 100 pairs of similarity 0.8, 95 of 0.85, nearly all above, and also a third
-    of those of 0.7, but no unrelated ones. That many bits leave no selective cells for a complete search, so first the fingerprints whose first 64 bits are within 4 are
-    grouped exactly as in near_duplicates; then the groups' smallest fingerprints are compared as pairs that are within 2
-    bits in one of six groups of 21 bits (about 94 of 100 pairs of similarity 0.8, more of closer ones). The first step also keeps
-    a large group of near copies from listing its pairs. Odd rows are treated as in near_duplicates.
+    """(key, component) per row of docs: groups of documents linked by a Jaccard similarity of their word shingles of at least this.
+
+    SimHash proposes pairs and every proposed pair is verified on its sets of shingle hashes, so each link is exact. Sets of
+    similarity s have a cosine of about 2s / (1 + s), and a SimHash bit differs with a chance of the angle by pi. Of 256 bits,
+    LOOSE tables take 14 each; pairs that agree in a table and whose first 128 bits differ in no more than the expected number
+    and SPREAD standard deviations are proposed. All distinct texts are compared. To keep a large group of near copies from
+    listing its pairs, each text is first proposed to the smallest one in its cells of TIGHT tables of 32 bits; texts that
+    these verified links connect are not proposed to each other again, and in a cell the texts of its largest such group (of
+    LARGE texts or more) are only compared with others. Odd rows are treated as in near_duplicates.
     """
     kind = docs.schema[key].dataType.simpleString()
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    longs = [f"f{i}" for i in range(WIDE // 64)]
+    hashed = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
 
     def make(batch: pa.RecordBatch) -> dict:
-        fps = [fingerprint(t, shingle, 128) for t in text_bytes(batch.column(1))]
-        return {key: batch.column(0), "fp": [signed(x % 2**64) for x in fps], "fq": [signed(x >> 64) for x in fps]}
-
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = math.floor(128 * chance + math.sqrt(128 * chance * (1 - chance)))
-    fps = pin_table(arrow_rows(docs.select(key, text), f"`{key}` {kind}, fp long, fq long", make))
-    nodes = fps.groupBy("fp").agg(F.min(key).alias("least"), F.min("fq").alias("fq"))
-    close = connected_components(links(fps), "a", "b").select(F.col("node").alias("fp"), "root")
-    nodes = pin_table(nodes.join(close, "fp", "left").select("fp", "fq", "least", F.coalesce("root", "fp").alias("root")))
-    heads = nodes.where("fp = root").select("fp", "fq")
-    cells = _grid(heads, 8)
-    a, b = (cells.select(F.col("fp").alias(f"{p}p"), F.col("fq").alias(f"{p}q"), "half", "g", "c") for p in "ab")
-    apart = F.bit_count(F.col("ap").bitwiseXOR(F.col("bp"))) + F.bit_count(F.col("aq").bitwiseXOR(F.col("bq")))
-    pairs = a.join(b, ["half", "g", "c"]).where((F.col("ap") < F.col("bp")) & (apart <= most)).select("ap", "bp").distinct()
-    joined = connected_components(pairs, "ap", "bp").select(F.col("node").alias("root"), F.col("root").alias("top"))
-    nodes = nodes.join(joined, "root", "left").select("fp", "least", F.coalesce("top", "root").alias("top"))
+        parts = [b"".join(fingerprint(t, shingle, 128, SEED + i).to_bytes(16, "little") for i in range(WIDE // 128)) for t in text_bytes(batch.column(1))]
+        fps = np.frombuffer(b"".join(parts), np.int64).reshape(-1, len(longs))
+        return {key: batch.column(0), "node": batch.column(2), **{c: pa.array(np.ascontiguousarray(fps[:, i])) for i, c in enumerate(longs)}}
+
+    fps = pin_table(arrow_rows(hashed.select(key, "text", "node"), f"`{key}` {kind}, node long, {', '.join(f'{c} long' for c in longs)}", make))
+    nodes = pin_table(fps.groupBy("node").agg(F.min(key).alias("least"), *[F.min(c).alias(c) for c in longs]))
+    texts = hashed.select("node", "text")
+
+    tight = _sampled(nodes.select("node", *longs), ["node", "f0", "f1"], TIGHT, 32)
+    heads = tight.groupBy("cell").agg(F.min(F.struct("node", "f0", "f1")).alias("y"))
+    stars = tight.join(heads.select("cell", F.col("y.node").alias("head"), F.col("y.f0").alias("g0"), F.col("y.f1").alias("g1")), "cell")
+    stars = pin_table(stars.where((F.col("node") != F.col("head")) & _near(similarity)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    links = _verified(stars, texts, shingle, similarity)
+    known = connected_components(links, "a", "b")
+    large = known.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("root")
+    grouped = pin_table(nodes.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *longs))
+
+    sizes = _sampled(grouped.join(large, "root", "leftsemi"), ["root"], LOOSE, 14).groupBy("cell", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    b = _sampled(grouped, ["node", "root", "f0", "f1"], LOOSE, 14)
+    a = b.join(largest, "cell", "left").where("main IS NULL OR root != main")
+    a = a.select("cell", "main", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
+    once = F.col("root").eqNullSafe(F.col("main")) | (F.col("node") < F.col("other"))
+    pairs = a.join(b, "cell").where((F.col("root") != F.col("other_root")) & once & _near(similarity))
+    pairs = pin_table(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    links = links.unionAll(_verified(pairs, texts, shingle, similarity))
+
+    joined = connected_components(links, "a", "b").select("node", F.col("root").alias("top"))
+    nodes = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("top", "node").alias("top"))
     smallest = nodes.groupBy("top").agg(F.min("least").alias("component"))
-    return fps.join(nodes.join(smallest, "top").select("fp", "component"), "fp").select(key, "component")
+    return fps.join(nodes.join(smallest, "top").select("node", "component"), "node").select(key, "component")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

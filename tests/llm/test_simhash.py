@@ -97,3 +97,30 @@ def test_similar_documents(spark):
         firsts.setdefault(k, i)
     assert sum(got[i] == firsts[k] for i, k in group.items()) > 0.95 * len(group)
     assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_links_are_exactly_as_similar_as_asked(spark):
+    """Pairs around 0.8: none below it is linked, and those at or above it are, also where neither is the head of a group."""
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, pairs = [], []
+    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}
+    for k in range(200):
+        a = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))]
+        b = list(a)
+        for _ in range(max(1, round(len(a) * rng.uniform(0.005, 0.07)))):
+            b[rng.randrange(len(b))] = rng.choice(vocabulary)
+        c = list(b)
+        c[rng.randrange(len(c))] = "W7"
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate((a, b, c))]
+        near = [[len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x in map(lambda z: [w.lower() for w in z], (a, b, c))] for y in map(lambda z: [w.lower() for w in z], (a, b, c))]
+        pairs.append(near)
+    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = total = 0
+    for k, near in enumerate(pairs):
+        for x, y, z in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+            linked = near[x][y] or near[x][z] and near[z][y]
+            total += linked
+            found += linked and got[3 * k + x] == got[3 * k + y]
+            assert linked or got[3 * k + x] != got[3 * k + y]
+    assert 250 < total < 590 and found >= 0.98 * total
