@@ -192,18 +192,44 @@ def _secret(text: str, key: bytes, back: bool) -> str | None:
 _MAKERS = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "ssn": _ssn, "phone": _phone, "date": _date, "secret": _secret}
 
 
+def _tries(kind: str, text: str) -> list[str]:
+    """A match and, for patterns that run into the words or numbers behind a value, its shorter beginnings by whole groups, longest first."""
+    least = {"card": 13, "iban": 15}.get(kind)
+    if least is None:
+        return [text]
+    ends = [i for i, c in enumerate(text) if c in " -" and sum(x not in " -" for x in text[:i]) >= least]
+    return [text, *(text[:i] for i in reversed(ends))]
+
+
+def _fresh(kind: str, text: str, key: bytes, back: bool) -> tuple[str, str] | None:
+    """The longest valid value that a match begins with, and its pseudonym."""
+    make, tries = _MAKERS[kind], _tries(kind, text)
+    for k, value in enumerate(tries):
+        fresh = make(value, key, back)
+        # a pseudonym that validates together with what follows would not be found again: the next one of its cycle is taken
+        while fresh is not None and any(make(fresh + longer[len(value) :], key, back) is not None for longer in tries[:k]):
+            fresh = make(fresh, key, back)
+        if fresh is not None:
+            return value, fresh
+    return None
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with its personal values permuted, and (begin, end, kind) of each in the input; back restores it."""
     if not _HINT.search(text):
         return text, []
     out, spans, at = [], [], 0
-    for m in _PATTERN.finditer(text):
+    m = _PATTERN.search(text)
+    while m:
         kind = next(k for k in KINDS if m[k])
-        fresh = _MAKERS[kind](m[0], key, back)
-        if fresh is not None:
-            out += [text[at : m.start()], fresh]
-            spans.append((m.start(), m.end(), kind))
-            at = m.end()
+        found = _fresh(kind, m[0], key, back)
+        begin, end = m.start(), m.start() + 1  # within a match that doesn't validate the search goes on
+        if found is not None:
+            end = begin + len(found[0])
+            out += [text[at:begin], found[1]]
+            spans.append((begin, end, kind))
+            at = end
+        m = _PATTERN.search(text, end)
     return "".join([*out, text[at:]]), spans
 
 
@@ -214,7 +240,8 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
     of 1900 to 2099, e-mail names, access keys, passwords and tokens are validated and permuted among the valid values
     of the same format under the secret (days and
     months get two digits), so a value has the same pseudonym in every document and who holds the secret
-    can go back. What doesn't validate stays as it is. Null texts stay null, with no spans; null keys and repeated rows
+    can go back. A card or account number that digits or capitals follow is found by the groups it ends with, and the search
+    goes on inside what doesn't validate, which stays as it is. Null texts stay null, with no spans; null keys and repeated rows
     are kept; an empty table gives no rows; other columns are not read. Whole texts are searched.
     """
     kind = docs.schema[key].dataType.simpleString()

@@ -53,3 +53,18 @@ def test_table(spark):
     assert len(spans) == sum(map(len, VALUES.values()))
     assert sorted(((r.doc_id, r.text, len(r.spans)) for r in got), key=str) == sorted([(1, want, len(spans))] * 2 + [(None, "", 0), (3, None, 0), (4, "plain", 0)], key=str)
     assert p.replace(spark.createDataFrame([], "doc_id long, text string"), KEY).count() == 0
+
+
+def test_values_with_numbers_or_words_behind_or_before_them():
+    cards = ["4111 1111 1111 1111", "4111111111111111", "371449635398431", "4041-8949-7460-8795"]
+    cases = [(c, "", rest, "card") for c in cards for rest in (" 12/27", " 123", " 1234 x", " 7", " 12 27")]
+    cases += [("ES91 2100 0418 4502 0005 1332", "", rest, "iban") for rest in (" EUR", " PAID NOW", " EUROS", " 12")]
+    cases += [("4111 1111 1111 1111", "AB12 ", "", "card"), ("4111 1111 1111 1111", "REF 2020 XY99 ", ".", "card"), ("DE89370400440532013000", "", " EUR", "iban")]
+    for value, before, rest, kind in cases:
+        for n in range(20):  # several keys: some pseudonyms would validate together with what follows
+            key, text = KEY + bytes([n]), f"pay {before}{value}{rest}"
+            new, spans = p.pseudonymise(text, key)
+            assert [k for *_, k in spans] == [kind], (text, spans)
+            assert spans[0][0] == 4 + len(before) and spans[0][1] >= 4 + len(before) + len(value) and value not in new
+            assert p.pseudonymise(new, key, back=True)[0] == text
+    assert p.pseudonymise("4041894974608796 123", KEY) == ("4041894974608796 123", [])
