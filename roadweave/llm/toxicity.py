@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import math
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.session import pin_table
 
-BUCKETS = 1 << 20
 PREFIXES = (4, 5)
-CONTEXTS = 64  # a feature's counts are estimated from so many classes of words before it
 PRIOR, LEAST_Z, TOP, DRIFT = 0.5, 4.0, 8.0, -0.05
 ECHO = 50  # a word that came among so many words before adds nothing again
 _STRIP = ".,;:!?()[]{}\"'«»„“”…*#%&$|-–—"
@@ -27,54 +26,56 @@ def tokens(text: str) -> list[str]:
 
 
 def features(word: str) -> list[int]:
-    """Buckets of the word and of its beginnings (inflected forms share them)."""
-    return [zlib.crc32(word.encode()) % BUCKETS] + [zlib.crc32(b"^%d" % n + word[:n].encode()) % BUCKETS for n in PREFIXES if len(word) > n]
+    """64-bit hashes of the word and of its beginnings (inflected forms share them)."""
+    found = [word] + [f"^{n}{word[:n]}" for n in PREFIXES if len(word) > n]
+    return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per bucket and label, which classes of preceding words were seen, as bits."""
-    seen = {0: np.zeros(BUCKETS, np.uint64), 1: np.zeros(BUCKETS, np.uint64)}
-    known: dict[str, tuple[list[int], int]] = {}
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, feature, n): in how many texts of a label a feature is; a feature may come several times, to be added up."""
+    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    known: dict[str, list[int]] = {}
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for label, counts in seen.items():
+            if counts:
+                columns = [np.full(len(counts), label, np.int32), np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["label", "feature", "n"])
+                counts.clear()
+
     for batch in batches:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            found, bits, before = [], [], 0
-            for w in tokens(text.as_py() or ""):
+            found: set[int] = set()
+            for w in set(tokens(text.as_py() or "")):
                 have = known.get(w)
                 if have is None:
                     if len(known) > CACHE_WORDS:
                         known.clear()
-                    have = known[w] = features(w), zlib.crc32(b"<" + w.encode()) % CONTEXTS
-                found += have[0]
-                bits += [before] * len(have[0])
-                before = have[1]
-            np.bitwise_or.at(seen[label], np.array(found, np.int64), np.uint64(1) << np.array(bits, np.uint64))
-    for label, masks in seen.items():
-        at = np.flatnonzero(masks)
-        for a in range(0, len(at), 1 << 16):
-            part = at[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label, np.int32)), pa.array(part), pa.array(masks[part].view(np.int64))], names=["label", "bucket", "mask"])
+                    have = known[w] = features(w)
+                found.update(have)
+            seen[label].update(found)
+            if len(seen[0]) + len(seen[1]) > CACHE_WORDS:
+                yield from out()
+    yield from out()
 
 
 def log_odds(labelled: DataFrame) -> DataFrame:
-    """(bucket, weight) of the features that mark label 1 significantly, from rows (label 0 or 1, text).
+    """(feature, weight, rate) of the features that mark label 1 significantly, from different rows (label 0 or 1, text).
 
-    Counts are numbers of different contexts (linear counting over classes of the word before), so that copies of a text
-    count once however many there are. The log-odds compare the counts by class, with a Dirichlet prior of PRIOR in
-    proportion to the number of rows of the class; a feature stays if its log-odds are LEAST_Z standard deviations above
-    zero, and its weight is at most TOP. A feature that nearly all contexts precede in label 0 is common language and stays out.
+    Counts are numbers of texts that hold the feature; each row counts, so copies of a text must have been left out before.
+    The log-odds compare a feature's share of the counts of all features by label (which takes out how long the texts are),
+    with a Dirichlet prior of PRIOR in proportion to the totals; a feature stays if its log-odds are LEAST_Z
+    standard deviations above zero, and its weight is at most TOP. The rate is its share in label 0.
     """
-    rows = {r.label: r.n for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    exposure = max(rows.get(0, 0), 1) / max(rows.get(1, 0), 1)
-    masks = labelled.mapInArrow(_contexts, "label int, bucket long, mask long").groupBy("bucket").pivot("label", [0, 1]).agg(F.bit_or("mask"))
-
-    def number(mask: Column) -> Column:
-        free = F.lit(CONTEXTS + 0.5) - F.bit_count(F.coalesce(mask, F.lit(0).cast("long")))
-        return F.log(F.lit(CONTEXTS + 0.5) / free) * CONTEXTS
-
-    n0, n1 = number(F.col("0")) + PRIOR * max(1.0, exposure), number(F.col("1")) + PRIOR * max(1.0, 1 / exposure)
-    delta = F.log(n1 / n0 * exposure)
-    rare = F.bit_count(F.coalesce(F.col("0"), F.lit(0).cast("long"))) <= CONTEXTS * 3 // 4
-    return masks.where(rare & (delta > LEAST_Z * F.sqrt(1 / n1 + 1 / n0))).select("bucket", F.least(delta, F.lit(TOP)).alias("weight"))
+    counts = labelled.mapInArrow(_counts, "label int, feature long, n long").groupBy("feature")
+    counts = pin_table(counts.agg(*[F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]))
+    totals = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1")).first()
+    t0, t1 = max(totals.t0 or 0, 1), max(totals.t1 or 0, 1)
+    p0, p1 = PRIOR * max(1.0, t0 / t1), PRIOR * max(1.0, t1 / t0)
+    n0, n1 = F.col("n0") + p0, F.col("n1") + p1
+    delta = F.log(n1 / (t1 + 2 * p1 - n1)) - F.log(n0 / (t0 + 2 * p0 - n0))
+    marks = delta > LEAST_Z * F.sqrt(1 / n1 + 1 / n0)
+    return counts.where(marks).select("feature", F.least(delta, F.lit(TOP)).alias("weight"), (F.col("n0") / t0).alias("rate"))
 
 
 def segments(places: list[int], weights: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -123,7 +124,7 @@ class _Scorer:
 def passages(docs: DataFrame, model: dict[int, float], key: str, text: str, lam: float) -> DataFrame:
     """(key, h, n, x, found) per row: hash of the text, tokens, the best segment's extreme-value statistic, significant segments."""
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS entries
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # significant features only
     schema = f"`{key}` {kind}, h long, n long, x double, found array<struct<begin:int,end:int,score:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +181,18 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(F.col(label).cast("int")).alias("label"))
     known = known.where(~out_of & F.col("label").isin(0, 1))
     # labels grow with the documents, so they are not broadcast, however few there are
-    train = docs.select(key, F.col(text).alias("text")).where(~out_of).join(known.hint("merge"), key).select("label", "text")
-    model = {r.bucket: r.weight for r in log_odds(train).toLocalIterator()}
-    weight = float(np.mean(list(model.values()))) if model else 1.0
-    rare, lam = 1e-6, 1.0
+    train = docs.where(~out_of).select(key, F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    marked = train.select(key, "h").join(known.hint("merge"), key).select("h", "label").distinct()
+    texts = train.groupBy("h").agg(F.first("text").alias("text"))
+    rows = log_odds(texts.join(marked.hint("merge"), "h").select("label", "text")).collect()
+    model = {r.feature: r.weight for r in rows}
+    weights, rates = (np.array([r[i] for r in rows] or [d]) for i, d in ((1, 1.0), (2, 1e-6)))
+    rates = rates + 1e-6 / len(rates)  # what clean rows happen not to hold is rare, not impossible
+    rest, lam = max(0.0, 1 - float(rates.sum())), 1.0
     low, high = 1e-3, 10.0
     for _ in range(60):
         lam = (low + high) / 2
-        low, high = (lam, high) if rare * math.exp(lam * weight) + (1 - rare) * math.exp(lam * DRIFT) < 1 else (low, lam)
+        low, high = (lam, high) if float((rates * np.exp(lam * weights)).sum()) + rest * math.exp(lam * DRIFT) < 1 else (low, lam)
     found = pin_table(passages(docs, model, key, text, lam).withColumn("held_out", out_of))
     bins = found.where(~F.col("held_out")).join(known, key).dropDuplicates(["h", "label"]).groupBy(F.round("x", 1).alias("x"), "label").agg(F.count("*").alias("n"))
     rows = bins.collect()  # bins of 0.1 of a bounded range

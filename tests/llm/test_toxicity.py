@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -65,3 +66,20 @@ def test_no_rows_and_no_labels(spark):
     none = spark.createDataFrame([], labels)
     assert t.score(spark.createDataFrame([], docs), none).count() == 0
     assert [r.predicted for r in t.score(spark.createDataFrame([(1, "a b")], docs), none).collect()] == [0]
+
+
+def test_counts_are_not_capped(spark):
+    """A toxic word that clean texts hold hundreds of times keeps its weight, as exact counts say; copies count once."""
+    rng = random.Random(11)
+    plain = ["".join(rng.choice("bdglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(2000)]
+    rows = []
+    for i in range(6000):
+        words = [rng.choice(plain) for _ in range(20)]
+        if i % 3 == 0 and rng.random() < 0.9 or i % 3 and rng.random() < 0.1:
+            words.insert(rng.randrange(20), "vrakz")
+        rows.append((int(i % 3 == 0), " ".join(words)))
+    texts = spark.createDataFrame(rows, "label int, text string").repartition(4)
+    weights = {r.feature: r.weight for r in t.log_odds(texts).collect()}
+    assert sum("vrakz" in x for y, x in rows if not y) > 300
+    rate = [sum("vrakz" in x for y, x in rows if y == k) / sum(1 for y, _ in rows if y == k) for k in (0, 1)]
+    assert abs(weights[t.features("vrakz")[0]] - math.log(rate[1] / rate[0])) < 0.15
