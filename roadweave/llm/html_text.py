@@ -25,16 +25,32 @@ _NAMES = frozenset(
     "search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
+#: Words that make a class the state of an element: what it has or lacks, not what it is.
+_STATE_FIRST = frozenset("has have no not with without".split())
+_STATE_LAST = frozenset("open opened closed enabled disabled allowed on off".split())
+#: An element's text is shown, left out only because of a form around it (which may hold a whole page), or left out.
+_SHOWN, _FORM, _OUT = 0, 1, 2
 SIGMA = 1.0
 
 
+def _names(attrs: list) -> set[str]:
+    """Words of class, id and role that say what an element is."""
+    out: set[str] = set()
+    for k, v in attrs:
+        for token in (v or "").split() if k in ("class", "id", "role") else ():
+            found = [n.lower() for n in _NAME.findall(token)]
+            if found and found[0] not in _STATE_FIRST and found[-1] not in _STATE_LAST:
+                out.update(found)
+    return out
+
+
 class _Lines(HTMLParser):
     """Blocks of a page as lines: text, number of tags, linked characters, whether it is a heading, its content element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, bool, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether its text is left out, number of its content element
+        self.open: list[tuple[str, int, int]] = []  # tag, whether its text is left out, number of its content element
         self.text: list[str] = []
         self.tags = self.linked = self.links = self.contents = 0
         self.heading = False
@@ -54,16 +70,19 @@ class _Lines(HTMLParser):
             return
         if tag == "p":
             self._close("p", ("p",))  # an open paragraph ends here
-        out, content = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
-        names = {n.lower() for k, v in attrs if k in ("class", "id", "role") and v for n in _NAME.findall(v)}
+        out, content = (self.open[-1][1], self.open[-1][2]) if self.open else (_SHOWN, 0)
+        names = _names(attrs)
         if tag in _CONTENT and not names & _NAMES:
-            # a form or a wrapper around the whole page doesn't hide its article
-            out = out and any(hides and t != "form" for t, hides, _ in self.open)
+            # a form around the whole page doesn't hide its article
+            out = _OUT if out == _OUT else _SHOWN
             if not content:
                 self.contents += 1
                 content = self.contents
         elif tag not in ("html", "body"):
-            out = out or tag in _SKIPPED or tag in _BOILERPLATE or bool(names & _NAMES) or (tag == "header" and not content)
+            if tag in _SKIPPED or (tag in _BOILERPLATE and tag != "form") or names & _NAMES or (tag == "header" and not content):
+                out = _OUT
+            elif tag == "form":
+                out = max(out, _FORM)
         self.links += tag == "a"
         self.heading |= tag in ("h1", "h2", "h3", "h4", "h5", "h6")
         self.open.append((tag, out, content))
@@ -119,7 +138,7 @@ def main_text(html: str | None) -> str:
 
     A line's ratio is its unlinked characters by its tags. Smoothed ratios (in logarithms) fall into two clusters, and
     runs of the upper one are content regions. A region inside article or main elements extends to that element's other
-    lines, so that short paragraphs and headings stay; elsewhere, it takes headings before it and gaps of up to two lines.
+    lines, so that short paragraphs and headings stay; lines outside such elements are candidates too. Elsewhere, it takes headings before it and gaps of up to two lines.
     """
     parser = _Lines()
     parser.feed(html or "")
@@ -128,8 +147,6 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    if any(content for *_, content in lines):
-        lines = [x for x in lines if x[4]]
     ratio = np.array([max(0, len(text) - linked) / max(1, tags) for text, tags, linked, _, _ in lines])
     smooth = _smooth(np.log1p(ratio))
     chosen = smooth >= _threshold(smooth) - 1e-9

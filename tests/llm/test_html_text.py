@@ -39,3 +39,25 @@ def test_table(spark):
     want = main_text(PAGE)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "u", want, len(want))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_wrappers_do_not_hide_articles():
+    body = "<p>The text of the page, long enough to be read.</p>"
+    want = "The text of the page, long enough to be read."
+    for page in (
+        f"<form id=aspnet><div><div><article>{body}</article></div></div></form>",
+        f"<div class='site has-sidebar'><article>{body}</article></div>",
+        f"<div class='no-sidebar'><div>{body}</div></div>",
+        f"<article class='post comments-open'>{body}</article>",
+        f"<main class='with-sidebar'>{body}</main>",
+    ):
+        assert main_text(page) == want, page
+    for page in (f"<div class=sidebar><article>{body}</article></div>", f"<aside><div><article>{body}</article></div></aside>", f"<form>{body}</form>"):
+        assert main_text(page) == "", page
+
+
+def test_text_beside_teaser_articles():
+    text = "".join(f"<p>{'A sentence of the text that matters here. ' * 4}{i}</p>" for i in range(6))
+    teasers = "".join(f"<article><a href=/{i}>Teaser {i}</a></article>" for i in range(4))
+    got = main_text(f"<div>{text}</div><div>{teasers}</div>")
+    assert got.count("A sentence") == 24 and "Teaser 3" not in got
