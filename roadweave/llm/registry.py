@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import html_text, packing, pseudonyms, quality, relative_lz, segment_search, simhash, templates, token_counts, toxicity
+from roadweave.llm import html_text, packing, periodic_runs, pseudonyms, quality, relative_lz, segment_search, simhash, templates, token_counts, toxicity
 from roadweave.session import shared_folder
 
 SECRET = b"replace this secret before publishing texts"
@@ -64,9 +64,31 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, w = F.floor(h / 10).cast("long"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    n = F.size(w).cast("long")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+    tail = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + (i - a) % p + 1).cast("int"))))
+    docs = docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", tail)).otherwise(F.col("text")))
+    found = periodic_runs.find_runs(docs)
+    better = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
+    kind = "struct<start: long, length: long, period: long>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat_ws("", F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    sha = lambda x: F.sha2(x.cast("binary"), 256)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        sha(F.concat_ws("", lines)).alias("runs_sha256"), sha(F.col("kept")).alias("collapsed_sha256"),
+    )
+
+
 REGISTRY = [
     op1_quality_classifier, op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op5_decontamination,
-    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash,
+    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash, op13_periodic_runs,
 ]
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
