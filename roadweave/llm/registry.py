@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import html_text, packing, periodic_runs, pseudonyms, quality, relative_lz, segment_search, simhash, templates, token_counts, toxicity
+from roadweave.llm import html_text, packing, periodic_runs, pseudonyms, quality, relative_lz, segment_search, simhash, spelling, templates, token_counts, toxicity
 from roadweave.session import shared_folder
 
 SECRET = b"replace this secret before publishing texts"
@@ -64,15 +64,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents"), rate=97))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    g, w = F.floor(h / 10).cast("long"), F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
-    n = F.size(w).cast("long")
+    docs = docs.withColumn("w", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    g, w, n = F.floor(h / 10).cast("long"), F.col("w"), F.size("w").cast("long")
     a = g % n
     p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
     tail = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.element_at(w, (a + (i - a) % p + 1).cast("int"))))
-    docs = docs.withColumn("text", F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", tail)).otherwise(F.col("text")))
+    docs = docs.withColumn("text", F.when(n > 0, F.concat_ws(" ", tail)).otherwise(F.col("text")))
     found = periodic_runs.find_runs(docs)
     better = lambda best, r: best.isNull() | (r.length * best.period > best.length * r.period)
     kind = "struct<start: long, length: long, period: long>"
@@ -88,7 +93,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = [
     op1_quality_classifier, op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op5_decontamination,
-    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash, op13_periodic_runs,
+    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash, op12_spelling_variants,
+    op13_periodic_runs,
 ]
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
