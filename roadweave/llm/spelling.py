@@ -14,45 +14,91 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadweave.llm.common import arrow_rows
 from roadweave.session import pin, pin_table
 
 HEAD = 3  # code points: tries are dealt out by so many, and nodes of no greater depth are numbered by them
-_LOWER = {i: i + 32 for i in range(ord("A"), ord("Z") + 1)}
+LONG, TOKENS = 64, 1 << 20  # bytes of a word whose CRC is not taken from tables, words handled together
 _PARTS = 40  # bits of a node's number within its task
 
 
-def dropped_letter(doc_id: str | None, word: str, rate: int = 97) -> str:
-    """The word without one code point where `rate` divides the CRC-32 of `<doc_id>:<word>`, else the word; none without doc_id."""
-    if doc_id is None:
-        return word
-    h = zlib.crc32(f"{doc_id}:{word}".encode())
-    at = h % len(word)
-    return word if h % rate else word[:at] + word[at + 1 :]
+class _Known(dict):
+    """Numbers of words as they first appear."""
+
+    def __init__(self) -> None:
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self.words)
+        self.words.append(word)
+        return number
+
+
+def _crc_table() -> np.ndarray:
+    """What a byte does to a CRC-32 (reversed polynomial 0xEDB88320)."""
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = np.where(x & 1, x >> 1 ^ np.uint32(0xEDB88320), x >> 1)
+    return x
+
+
+def _dropped(known: _Known, ids: np.ndarray, keys: list[str | None], size: np.ndarray, rate: int) -> Iterator[tuple[int, str]]:
+    """(number, word without a code point) of every place where `rate` divides h, the CRC-32 of `<key>:<word>`; h names the code point.
+
+    The CRC of joined strings is that of the first, moved on by as many zero bytes as the second has, xor that of the second.
+    """
+    own = [w.encode() for w in known.words]
+    length, crc = np.fromiter(map(len, own), np.int64, len(own)), np.fromiter(map(zlib.crc32, own), np.uint32, len(own))
+    begin = np.array([0 if k is None else zlib.crc32(f"{k}:".encode()) for k in keys], np.uint32)
+    moved, table = [begin], _crc_table()
+    for _ in range(min(int(length.max(initial=0)), LONG)):
+        moved.append(moved[-1] >> 8 ^ table[moved[-1] & 255])
+    doc = np.repeat(np.arange(len(keys)), size)
+    n = length[ids]
+    h = np.stack(moved)[np.minimum(n, LONG), doc] ^ crc[ids]
+    for i in np.flatnonzero(n > LONG).tolist():
+        h[i] = zlib.crc32(own[ids[i]], int(begin[doc[i]]))
+    named = np.array([k is not None for k in keys], bool)
+    for i in np.flatnonzero((h % np.uint32(rate) == 0) & named[doc]).tolist():
+        word = known.words[ids[i]]
+        at = int(h[i]) % len(word)
+        yield int(ids[i]), word[:at] + word[at + 1 :]
 
 
 def word_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", letters: str = "A-Za-zÀ-ÿ", rate: int | None = None, least: int = 5) -> DataFrame:
     """(word, n): runs of letters of whole texts, A-Z in lower case, of at least so many code points, with their occurrences.
 
-    rate: see dropped_letter; None leaves words as they are. Counts are summed per batch before they are shuffled.
+    rate: see _dropped; None, and a row without a key, leave words as they are. Counts are summed per batch before they
+    are shuffled.
     """
     run = re.compile(f"[{letters}]+")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[str] = Counter()
-            for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(run.findall(t.translate(_LOWER) if t else ""))
+            known, extra = _Known(), Counter()
+            total, at = np.zeros(0, np.int64), 0
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            while at < len(keys):
+                ids, size = [], []
+                while at + len(size) < len(keys) and len(ids) < TOKENS:
+                    t = texts[at + len(size)].as_py()
+                    found = run.findall(t.encode().lower().decode()) if t else []  # bytes.lower() changes A-Z only
+                    ids += map(known.__getitem__, found)
+                    size.append(len(found))
+                numbers = np.array(ids, np.int64)
+                total = np.bincount(numbers, minlength=len(known)) + np.pad(total, (0, len(known) - len(total)))
                 if rate:
-                    for word, n in own.items():
-                        found[dropped_letter(doc_id, word, rate)] += n
-                else:
-                    found.update(own)
-            some = [(w, n) for w, n in found.items() if len(w) >= least]
+                    for number, word in _dropped(known, numbers, keys[at : at + len(size)], np.array(size), rate):
+                        total[number] -= 1
+                        extra[word] += 1
+                at += len(size)
+            some = [(w, n) for w, n in [*zip(known.words, total.tolist(), strict=True), *extra.items()] if n and len(w) >= least]
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in some], pa.string()), pa.array([n for _, n in some], pa.int64())], names=["word", "n"])
 
     rows = docs.select(F.col(key).cast("string"), text).mapInArrow(count, "word string, n long")
@@ -95,35 +141,86 @@ def _number(words: DataFrame, name: str, back: bool) -> DataFrame:
     return dealt.mapInArrow(number, f"{kinds}, {name} array<bigint>")
 
 
+def _pairs(batch: pa.RecordBatch) -> dict:
+    """Every word's pairs: uncut (kind 0), and without one character (2; 1 if the one before it is the same).
+
+    Of a stretch of equal characters only the first may be the missing one, so that a word and a longer one meet once.
+    """
+    found, p, s = batch.column("word").to_pylist(), batch.column("p"), batch.column("s")
+    size = np.fromiter(map(len, found), np.int64, len(found))
+    first = np.diff(np.frombuffer("".join(found).encode("utf-32-le"), np.uint32), prepend=0) != 0
+    first[(np.cumsum(size) - size)[size > 0]] = True
+    nodes, ends = p.flatten().to_numpy(), s.flatten().to_numpy()
+    start = np.cumsum(size + 1) - size - 1  # of a word's nodes in both arrays
+    of = np.repeat(np.arange(len(found)), size + 1)
+    cut = np.arange(len(of)) - start[of]
+    kept = np.repeat(np.arange(len(found)), size)
+    out = np.arange(len(kept)) - (np.cumsum(size) - size)[kept]
+    word = np.concatenate((of, kept))
+    return {
+        "p": pa.array(np.concatenate((nodes[start[of] + cut], nodes[start[kept] + out]))),
+        "s": pa.array(np.concatenate((ends[start[of] + size[of] - cut], ends[start[kept] + size[kept] - out - 1]))),
+        "kind": pa.array(np.concatenate((np.zeros(len(of), np.int8), 1 + first.astype(np.int8)))),
+        "less": pa.array(-batch.column("n").to_numpy()[word]), "word": batch.column("word").take(pa.array(word)),
+    }
+
+
+def _meet(rows: pa.Table) -> pa.RecordBatch:
+    """What the words of each pair learn of one another: (word, n_near, less, form); rows come by p, s, less, word."""
+    p, s, kind = (rows.column(c).to_numpy() for c in ("p", "s", "kind"))
+    group = np.cumsum(np.concatenate(([0], (p[1:] != p[:-1]) | (s[1:] != s[:-1]))))
+    groups = int(group[-1]) + 1
+    out, first, short = np.flatnonzero(kind > 0), np.flatnonzero(kind == 2), np.flatnonzero(kind == 0)
+    g = group[out]
+    count = np.bincount(g, minlength=groups)
+    top = np.cumsum(count) - count  # place in `out` of the group's most frequent word
+    replaced = count[g] > 1
+    me, g = np.flatnonzero(replaced), g[replaced]
+    best = out[top[g] + (me == top[g])]
+    who, near, form = [out[replaced]], [count[g] - 1], [best]
+    whole = np.full(groups, -1)
+    whole[group[short]] = short
+    longer = whole[group[first]] >= 0
+    who.append(first[longer])
+    near.append(np.ones(int(longer.sum()), np.int64))
+    form.append(whole[group[first[longer]]])
+    count = np.bincount(group[first], minlength=groups)
+    top = np.cumsum(count) - count
+    some = short[count[group[short]] > 0]
+    who.append(some)
+    near.append(count[group[some]])
+    form.append(first[top[group[some]]])
+    who, form = pa.array(np.concatenate(who)), pa.array(np.concatenate(form))
+    columns = [rows.column("word").take(who), pa.chunked_array([pa.array(np.concatenate(near))]), rows.column("less").take(form), rows.column("word").take(form)]
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=["word", "n_near", "less", "form"])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_meet on whole groups; the last one of a batch waits for the next batch."""
+    rest = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+        p, s = rows.column("p").to_numpy(), rows.column("s").to_numpy()
+        other = np.flatnonzero((p != p[-1]) | (s != s[-1])) if len(p) else []
+        cut = int(other[-1]) + 1 if len(other) else 0
+        rest = rows.slice(cut).combine_chunks().to_batches()[0] if len(p) else rest
+        if cut:
+            yield _meet(rows.slice(0, cut))
+    if rest is not None:
+        yield _meet(pa.Table.from_batches([rest]))
+
+
 def near_words(words: DataFrame) -> DataFrame:
-    """(word, n_near, form, form_n) of all words (distinct, at least one near): how many are one edit away, and of those the most frequent one.
+    """(word, n_near, form, form_n) of all words with one near at least: how many are one edit away, and of those the most frequent one.
 
-    words (word, n). Ties go to the smallest word in code-point order.
+    words (word, n), distinct. Ties go to the smallest word in code-point order.
     """
     c = F.col
     nodes = _number(_number(words, "p", False), "s", True)
-    at = lambda d: F.get("s", F.size("s") - 1 - d)  # node of what stands from place d on
-    char = lambda i: F.substring(c("word"), i + 1, F.lit(1))
-    best = F.struct((-c("n")).alias("less"), c("word").alias("word"))
-    # of a stretch of equal characters only the first may be the one that is missing, so that a pair of words meets once
-    left_out = F.transform(
-        F.sequence(F.lit(0), F.size("p") - 2),
-        lambda i: F.struct(F.get("p", i).alias("p"), at(i + 1).alias("s"), F.when((i > 0) & (char(i) == char(i - 1)), 1).otherwise(2).alias("kind")),
-    )
-    whole = F.transform(F.sequence(F.lit(0), F.size("p") - 1), lambda i: F.struct(F.get("p", i).alias("p"), at(i).alias("s"), F.lit(0).alias("kind")))
-    pairs = nodes.select(best.alias("me"), F.inline(F.concat(left_out, whole)))
-    groups = pairs.groupBy("p", "s").agg(F.array_sort(F.collect_list(F.struct("me", "kind"))).alias("all")).where(F.size("all") > 1)
-    groups = groups.select(F.filter("all", lambda x: x.kind > 0).alias("some"), F.filter("all", lambda x: x.kind == 2).alias("first"), F.get(F.filter("all", lambda x: x.kind == 0), F.lit(0)).alias("short"))
-    replaced = F.transform(
-        F.when(F.size("some") > 1, c("some")).otherwise(F.array()),
-        lambda x: F.struct(x.me.word.alias("word"), (F.size("some") - 1).alias("n"), F.when(x.me == F.get("some", F.lit(0)).me, F.get("some", F.lit(1)).me).otherwise(F.get("some", F.lit(0)).me).alias("best")),
-    )
-    shorter = F.transform("first", lambda x: F.struct(x.me.word.alias("word"), F.lit(1).alias("n"), c("short.me").alias("best")))
-    longer = F.array(F.struct(c("short.me.word").alias("word"), F.size("first").alias("n"), F.get("first", F.lit(0)).me.alias("best")))
-    indels = F.when(c("short").isNotNull() & (F.size("first") > 0), F.concat(shorter, longer)).otherwise(F.array())
-    met = groups.select(F.inline(F.concat(replaced, indels)))
-    found = met.groupBy("word").agg(F.sum("n").alias("n_near"), F.min("best").alias("best"))
-    return found.select("word", "n_near", c("best.word").alias("form"), (-c("best.less")).alias("form_n"))
+    pairs = arrow_rows(nodes, "p long, s long, kind byte, less long, word string", _pairs)
+    met = pairs.repartition("p", "s").sortWithinPartitions("p", "s", "less", "word").mapInArrow(_grouped, "word string, n_near long, less long, form string")
+    found = met.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct("less", "form")).alias("best"))
+    return found.select("word", "n_near", c("best.form").alias("form"), (-c("best.less")).alias("form_n"))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
