@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadweave.llm import html_text, packing, periodic_runs, pseudonyms, quality, relative_lz, segment_search, simhash, spelling, templates, token_counts, toxicity
+from roadweave.llm import backoff, html_text, packing, periodic_runs, pseudonyms, quality, relative_lz, segment_search, simhash, spelling, templates, token_counts, toxicity
 from roadweave.session import shared_folder
 
 SECRET = b"replace this secret before publishing texts"
@@ -64,6 +64,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", (h % 7 == 2).alias("held_out"))
+    return backoff.score(docs, "held_out").withColumnRenamed("held", "held_out")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spelling.variants(spelling.word_counts(_read(spark, sf_dir, "documents"), rate=97))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
@@ -93,8 +99,8 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = [
     op1_quality_classifier, op2_best_fit_packing, op3_token_counts, op4_exact_top_k, op5_decontamination,
-    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash, op12_spelling_variants,
-    op13_periodic_runs,
+    op6_substring_dedup, op7_toxicity, op8_pii, op9_html_text, op10_simhash, op11_lm_scores,
+    op12_spelling_variants, op13_periodic_runs,
 ]
 SQL: dict[str, str] = {
     "op4_exact_top_k": """
