@@ -195,7 +195,7 @@ def automaton(block: Block, orders: list[Order], totals: list[np.ndarray], n: in
     return machine, word[1:], int(state[0][first.at[0]]) if len(orders) > 1 else 0
 
 
-def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text", order: int = 2, mu: float = 8.0) -> DataFrame:
+def score(docs: DataFrame, held: str, key: str = "doc_id", text: str = "text", order: int = 2, mu: float = 1000.0) -> DataFrame:
     """(key, held, n_tokens, n_known, train_tokens, base_score, score) per row of docs (a table as read).
 
     held: a boolean column; rows where it is false teach, all are scored. Tokens are words in lower case (A-Z) and one end.
