@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from roadweave.llm.common import text_bytes, words
 from roadweave.session import pin_table
 
-BLOCK, RANGE = 1 << 21, 1 << 19  # tokens of a block (a longer document alone), entries that a range is meant to hold
+BLOCK, RANGE = 1 << 20, 1 << 19  # tokens of a block (a longer document alone), entries that a range is meant to hold
 KNOWN = 1 << 18  # words whose hashes a task remembers
 END = np.uint64(xxhash.xxh64_intdigest(b"\n", 42))  # of no word, as words hold no line feed
 
