@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import random
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,17 +13,12 @@ from roadweave.llm.components import connected_components
 from roadweave.session import pin_table
 
 BITS, SEED, STEP = 64, 42, 1 << 16
-#: Of similar_documents: bits of a fingerprint, tables for all pairs and for close ones, standard deviations above the expected distance, a large group.
-WIDE, LOOSE, TIGHT, SPREAD, LARGE = 256, 48, 16, 4, 32
 _LOW = 0x5555555555555555  # the lower bit of every segment of two bits
 
 
-def fingerprint(text: bytes, shingle: int, bits: int = BITS, seed: int = SEED) -> int:
-    """Bit i is set if it is set in over half the hashes of the word shingles (repeats included).
-
-    Hashes are XXH64 with a seed (42), or the 128 bits of XXH3 for a fingerprint of that width.
-    """
-    hashed = xxhash.xxh64_intdigest if bits == BITS else xxhash.xxh3_128_intdigest
+def fingerprint(text: bytes, shingle: int) -> int:
+    """Bit i is set if it is set in over half the hashes (XXH64, seed 42) of the word shingles (repeats included)."""
+    hashed, seed, bits = xxhash.xxh64_intdigest, SEED, BITS
     found = words(text.lower())  # bytes.lower() changes A-Z only
     if not found:
         return 0
@@ -76,17 +68,51 @@ def _cells(fp: Column, max_distance: int) -> Column:
     return F.array(*out)
 
 
-def links(fps: DataFrame, max_distance: int = 4) -> DataFrame:
+def _in_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """nodes with one row for every cell (g, c) of their fp."""
+    cells = nodes.withColumn("cell", F.explode(_cells(F.col("fp"), max_distance))).where("cell is not null")
+    return cells.select(*nodes.columns, "cell.g", "cell.c")
+
+
+def _near(a: str, b: str, max_distance: int) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= max_distance
+
+
+def links(nodes: DataFrame, max_distance: int = 4) -> DataFrame:
     """(a, b) of all different fingerprints of the column fp that differ in at most max_distance bits, each pair once.
 
-    Only pairs that pass the exact test leave the join; the two sides are shuffled by cell, and Spark splits
-    crowded cells. For 3 * groups > max_distance up to 8 a cell names at least 20 bits.
+    If nodes (then distinct) have a column root, pairs of the same root are left out. Only pairs that pass the tests leave
+    the join; the two sides are shuffled by cell, and Spark splits crowded cells. For 3 * groups > max_distance up to 8 a
+    cell names at least 20 bits.
     """
-    cells = fps.select("fp").distinct().select("fp", F.explode(_cells(F.col("fp"), max_distance)).alias("cell")).where("cell is not null")
-    cells = cells.select("fp", "cell.g", "cell.c")
-    a, b = cells.select(F.col("fp").alias("a"), "g", "c"), cells.select(F.col("fp").alias("b"), "g", "c")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
-    return a.join(b, ["g", "c"]).where(near).select("a", "b").distinct()
+    rooted = "root" in nodes.columns
+    cells = _in_cells(nodes.select("fp", *(["root"] if rooted else [])).distinct(), max_distance)
+    a = cells.select(F.col("fp").alias("a"), "g", "c", *([F.col("root").alias("other")] if rooted else []))
+    b = cells.withColumnRenamed("fp", "b")
+    met = (F.col("a") < F.col("b")) & _near("a", "b", max_distance)
+    if rooted:
+        met &= F.col("other") != F.col("root")
+    return a.join(b, ["g", "c"]).where(met).select("a", "b").distinct()
+
+
+def connected(fps: DataFrame, max_distance: int = 4) -> DataFrame:
+    """(node, root) of every fingerprint of the column fp that links of at most max_distance bits join to another one.
+
+    First each fingerprint is tried against the smallest of each of its cells: in a group of near copies these stars
+    join nearly all, with a link for each and not for each pair. Then all pairs that are still apart are sought.
+    """
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = pin_table(fps.select("fp").distinct().repartition(parts, "fp"))
+    spread = nodes.repartition(parts, "fp")  # the table is small, its cells are many
+    cells = _in_cells(spread, max_distance)
+    heads = cells.groupBy("g", "c").agg(F.min("fp").alias("head"), F.count("*").alias("n"))
+    heads = pin_table(heads.where("n > 1").drop("n"))
+    stars = cells.join(heads, ["g", "c"]).where((F.col("fp") != F.col("head")) & _near("fp", "head", max_distance))
+    stars = pin_table(stars.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
+    known = connected_components(stars, "a", "b")
+    rooted = nodes.join(known, nodes.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rest = pin_table(links(rooted.repartition(parts, "fp"), max_distance))
+    return connected_components(stars.unionAll(rest), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
@@ -99,7 +125,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     """
     fps = pin_table(fingerprints(docs, key, text, shingle))
     nodes = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    parts = connected_components(links(fps, max_distance), "a", "b")
+    parts = connected(fps, max_distance)
     linked = nodes.join(parts, nodes.fp == parts.node).select("fp", "root", "least")
     smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"))
     linked = linked.join(smallest, "root").select("fp", "smallest")
@@ -107,117 +133,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     return fps.join(nodes, "fp").select(key, "fp", "component")
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct XXH64 hashes of the word shingles of a text in lower case, as signed longs; a shorter text is one shingle."""
-    found = words(text.lower())
-    n = max(1, len(found) - shingle + 1) if found else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + shingle]), SEED) for i in range(n)), np.uint64, n)).view(np.int64)
-
-
-def _sampled(nodes: DataFrame, carried: list[str], tables: int, bits: int) -> DataFrame:
-    """(carried, cell) per node and table: a table's cell is the number of the table and so many fixed bits of f0 to f3."""
-    rng = random.Random(SEED + bits)
-    places = np.array([rng.sample(range(WIDE), bits) for _ in range(tables)])
-    kinds = ", ".join(f"{c} long" for c in [*carried, "cell"])
-
-    def make(batch: pa.RecordBatch) -> dict:
-        n = batch.num_rows
-        fps = np.stack([batch.column(f"f{i}").to_numpy() for i in range(WIDE // 64)], axis=1)
-        have = np.unpackbits(fps.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
-        out = np.zeros((n, tables), np.int64)
-        for i in range(bits):
-            out = out * 2 + have[:, places[:, i]]
-        cells = pa.array((out + (np.arange(tables, dtype=np.int64) << bits)).reshape(-1))
-        at = pa.array(np.repeat(np.arange(n), tables))
-        return {**{c: batch.column(c).take(at) for c in carried}, "cell": cells}
-
-    return arrow_rows(nodes, kinds, make)
-
-
-def _near(similarity: float) -> Column:
-    """Whether (f0, f1) and (g0, g1) differ in at most the expected number of bits and SPREAD standard deviations."""
-    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    apart = F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("f1").bitwiseXOR(F.col("g1")))
-    return apart <= math.floor(128 * chance + SPREAD * math.sqrt(128 * chance * (1 - chance)))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have a Jaccard similarity of at least this; docs has (node, text)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.join(wanted, "node", "leftsemi").groupBy("node").agg(F.min("text").alias("text"))
-
-    def make(batch: pa.RecordBatch) -> dict:
-        return {"node": batch.column(0), "s": [shingle_set(t, shingle) for t in text_bytes(batch.column(1))]}
-
-    sets = pin_table(arrow_rows(texts.select("node", "text"), "node long, s array<long>", make))
-    a, b = (sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    # sets of very different sizes are never this similar
-    sized = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    same = both >= F.lit(similarity) * (F.size("sa") + F.size("sb") - both) - 1e-9
-    return pin_table(pairs.join(a, "a").join(b, "b").where(sized).where(same).select("a", "b"))
-
-
-def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(key, component) per row of docs: groups of documents linked by a Jaccard similarity of their word shingles of at least this.
-
-    SimHash proposes pairs and every proposed pair is verified on its sets of shingle hashes, so each link is exact. Sets of
-    similarity s have a cosine of about 2s / (1 + s), and a SimHash bit differs with a chance of the angle by pi. Of 256 bits,
-    LOOSE tables take 14 each; pairs that agree in a table and whose first 128 bits differ in no more than the expected number
-    and SPREAD standard deviations are proposed. All distinct texts are compared. To keep a large group of near copies from
-    listing its pairs, each text is first proposed to the smallest one in its cells of TIGHT tables of 32 bits; texts that
-    these verified links connect are not proposed to each other again, and in a cell the texts of its largest such group (of
-    LARGE texts or more) are only compared with others. Odd rows are treated as in near_duplicates.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    longs = [f"f{i}" for i in range(WIDE // 64)]
-    hashed = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("node", F.xxhash64("text"))
-
-    def make(batch: pa.RecordBatch) -> dict:
-        parts = [b"".join(fingerprint(t, shingle, 128, SEED + i).to_bytes(16, "little") for i in range(WIDE // 128)) for t in text_bytes(batch.column(1))]
-        fps = np.frombuffer(b"".join(parts), np.int64).reshape(-1, len(longs))
-        return {key: batch.column(0), "node": batch.column(2), **{c: pa.array(np.ascontiguousarray(fps[:, i])) for i, c in enumerate(longs)}}
-
-    fps = pin_table(arrow_rows(hashed.select(key, "text", "node"), f"`{key}` {kind}, node long, {', '.join(f'{c} long' for c in longs)}", make))
-    nodes = pin_table(fps.groupBy("node").agg(F.min(key).alias("least"), *[F.min(c).alias(c) for c in longs]))
-    texts = hashed.select("node", "text")
-
-    tight = _sampled(nodes.select("node", *longs), ["node", "f0", "f1"], TIGHT, 32)
-    heads = tight.groupBy("cell").agg(F.min(F.struct("node", "f0", "f1")).alias("y"))
-    stars = tight.join(heads.select("cell", F.col("y.node").alias("head"), F.col("y.f0").alias("g0"), F.col("y.f1").alias("g1")), "cell")
-    stars = pin_table(stars.where((F.col("node") != F.col("head")) & _near(similarity)).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    links = _verified(stars, texts, shingle, similarity)
-    known = connected_components(links, "a", "b")
-    large = known.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE).select("root")
-    grouped = pin_table(nodes.join(known, "node", "left").select("node", F.coalesce("root", "node").alias("root"), *longs))
-
-    sizes = _sampled(grouped.join(large, "root", "leftsemi"), ["root"], LOOSE, 14).groupBy("cell", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    b = _sampled(grouped, ["node", "root", "f0", "f1"], LOOSE, 14)
-    a = b.join(largest, "cell", "left").where("main IS NULL OR root != main")
-    a = a.select("cell", "main", F.col("node").alias("other"), F.col("root").alias("other_root"), F.col("f0").alias("g0"), F.col("f1").alias("g1"))
-    once = F.col("root").eqNullSafe(F.col("main")) | (F.col("node") < F.col("other"))
-    pairs = a.join(b, "cell").where((F.col("root") != F.col("other_root")) & once & _near(similarity))
-    pairs = pin_table(pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    links = links.unionAll(_verified(pairs, texts, shingle, similarity))
-
-    joined = connected_components(links, "a", "b").select("node", F.col("root").alias("top"))
-    nodes = nodes.join(joined, "node", "left").select("node", "least", F.coalesce("top", "node").alias("top"))
-    smallest = nodes.groupBy("top").agg(F.min("least").alias("component"))
-    return fps.join(nodes.join(smallest, "top").select("node", "component"), "node").select(key, "component")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """The rows of docs (a table as read) without near-duplicates, with all their columns.
 
-    Of each group of similar_documents the row with the smallest key stays, of equal keys the first; a null key is
-    smaller than others.
+    Of each component of near_duplicates the row with the smallest key stays, of equal keys the first; a null key is
+    smaller than others. Null and empty texts are near-duplicates of one another. An empty table gives no rows.
     """
     name = "_row"
     while name in docs.columns:
         name += "_"
     rows = docs.withColumn(name, F.monotonically_increasing_id())
     keyed = rows.select(F.struct(F.col(key).alias("key"), F.col(name).alias("row")).alias("id"), F.col(text).alias("text"))
-    found = similar_documents(keyed, "id", "text", shingle, similarity)
+    found = near_duplicates(keyed, "id", "text", shingle, max_distance)
     stay = found.where(F.col("id.row") == F.col("component.row")).select(F.col("id.row").alias(name))
     return rows.join(stay, name, "leftsemi").drop(name)

@@ -47,7 +47,7 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             want = [r for r in state if good(r[1] or "")]
             assert {r[1] for r in rows[:120]} <= {r[1] for r in got} and not any("!!" in r[1] or not r[1].strip() for r in got)
         elif i == 1:
-            labels = groups([(n, fingerprint(r[1].encode(), 5, 128)) for n, r in enumerate(state)], 23)
+            labels = groups([(n, fingerprint(r[1].encode(), 4)) for n, r in enumerate(state)], 4)
             best = {}
             for label, r in zip(labels, state, strict=True):
                 k = (r[0] is not None, r[0] or 0)

@@ -67,60 +67,28 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(n + 1), 0), 1000: 1000, 1001: 1000}
 
 
-def test_similar_documents(spark):
-    """Edited copies are found, other documents are left alone, and a large group of near copies is one group."""
-    rng = random.Random(3)
-    vocabulary = [f"w{i}" for i in range(3000)]
-    rows, group = [], {}
-    for k in range(60):
-        words = [rng.choice(vocabulary) for _ in range(rng.randrange(80, 400))]
-        for c in range(rng.randrange(1, 4)):
-            mine = list(words)
-            for _ in range(len(words) // 80 if c else 0):  # a changed word costs five shingles
-                mine[rng.randrange(len(mine))] = rng.choice(vocabulary)
-            group[len(rows)] = k
-            rows.append((len(rows), " ".join(mine)))
-    large = [rng.choice(vocabulary) for _ in range(300)]
-    for _ in range(150):
-        mine = list(large)
-        mine[rng.randrange(300)] = rng.choice(vocabulary)
-        group[len(rows)] = 99
-        rows.append((len(rows), " ".join(mine)))
-    rows += [(1000, None), (1001, ""), (1002, "one two"), (None, "one two")]
-    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component for r in simhash.similar_documents(table).collect()}
-    assert got[1000] == got[1001] == 1000 and got[1002] == got[None] == 1002
-    for i, k in group.items():
-        assert group[got[i]] == k  # never across groups
-    firsts = {}
-    for i, k in group.items():
-        firsts.setdefault(k, i)
-    assert sum(got[i] == firsts[k] for i, k in group.items()) > 0.95 * len(group)
-    assert simhash.similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-
-
-def test_links_are_exactly_as_similar_as_asked(spark):
-    """Pairs around 0.8: none below it is linked, and those at or above it are, also where neither is the head of a group."""
-    rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(5000)]
-    rows, pairs = [], []
-    shingles = lambda x: {tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}
-    for k in range(200):
-        a = [rng.choice(vocabulary) for _ in range(rng.randrange(60, 300))]
-        b = list(a)
-        for _ in range(max(1, round(len(a) * rng.uniform(0.005, 0.07)))):
-            b[rng.randrange(len(b))] = rng.choice(vocabulary)
-        c = list(b)
-        c[rng.randrange(len(c))] = "W7"
-        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate((a, b, c))]
-        near = [[len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) for x in map(lambda z: [w.lower() for w in z], (a, b, c))] for y in map(lambda z: [w.lower() for w in z], (a, b, c))]
-        pairs.append(near)
-    got = {r.doc_id: r.component for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
-    found = total = 0
-    for k, near in enumerate(pairs):
-        for x, y, z in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
-            linked = near[x][y] or near[x][z] and near[z][y]
-            total += linked
-            found += linked and got[3 * k + x] == got[3 * k + y]
-            assert linked or got[3 * k + x] != got[3 * k + y]
-    assert 250 < total < 590 and found >= 0.98 * total
+def test_group_of_near_copies_by_stars(spark):
+    """Chains, a group around one fingerprint, and pairs that no cell's smallest fingerprint meets: the same components as all pairs give."""
+    rng = random.Random(6)
+    fps = set()
+    for _ in range(4):
+        x = rng.getrandbits(64)
+        fps |= {x ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(5))) for _ in range(60)}
+        for _ in range(40):
+            x ^= sum(1 << b for b in rng.sample(range(64), 4))
+            fps.add(x)
+    fps = sorted(fps)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    table = spark.createDataFrame([(x,) for x in signed * 2], "fp long")
+    root = {r.node: r.root for r in simhash.connected(table).collect()}
+    label = brute(list(zip(signed, fps, strict=True)), 4)
+    assert {x: root.get(x, x) for x in signed} == dict(zip(signed, label, strict=True))
+
+
+def test_one_of_each_keeps_rows_whole(spark, tmp_path):
+    rows = [(3, "a b c d e", "x"), (2, "A b c d e", "y"), (2, "A b c d e", "z"), (None, None, "n"), (9, "", "m"), (5, "w " * 60_000, "l")]
+    spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3).write.parquet(f"{tmp_path}/t")
+    got = simhash.one_of_each(spark.read.parquet(f"{tmp_path}/t"))
+    assert got.columns == ["doc_id", "text", "_row"]
+    assert sorted((r.doc_id or 0, r._row if r.doc_id != 2 else "") for r in got.collect()) == [(0, "n"), (2, ""), (5, "l")]
+    assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
