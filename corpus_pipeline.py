@@ -18,7 +18,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group linked by pairs, proposed by SimHash and verified, that share 0.8 of their five-word shingles."""
+    """One document (the smallest doc_id) of each group whose SimHash fingerprints (four-word shingles) are linked by at most four bits."""
     return simhash.one_of_each(docs)
 
 
