@@ -12,6 +12,9 @@ from pyspark.sql import Window as W
 from roadweave.session import pin_table
 
 WORDS, LITERALS, SHARE = 5, 3, 0.8
+#: Diagonals on either side that belong to one place: so many words may be inserted or left out.
+REACH = 4
+WHOLE_DOCUMENT = -(1 << 62)
 BROADCAST_ROWS = 1 << 20
 #: Units that may follow a number.
 UNITS = (
@@ -51,55 +54,124 @@ def values(text: Column) -> Column:
     return F.transform(F.split(_tidy(text), " +"), lambda w: F.regexp_replace(F.lower(w), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]+$|^[^\p{L}\p{N}]+(?=[\p{L}\p{N}])", ""))
 
 
-def _at(words: Column, step: int) -> Column:
-    """Places (from 1) of the windows of a word array; none in shorter arrays."""
-    return F.when(F.size(words) >= WORDS, F.sequence(F.lit(1), F.size(words) - (WORDS - 1), F.lit(step))).otherwise(F.array().cast("array<int>"))
+def _at(words: Column, size: int) -> Column:
+    """Places (from 1) of the windows of so many words of a word array; none in shorter arrays."""
+    return F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - (size - 1))).otherwise(F.array().cast("array<int>"))
 
 
-def item_windows(benchmark: DataFrame, item: str, text: str) -> DataFrame:
-    """(item, q, h, kinds, slots, total): the usable windows of each item, and their number; h is the template's hash."""
-    rows = benchmark.select(F.col(item).alias("item"), template(F.col(text)).alias("c"), values(F.col(text)).alias("v"))
-    rows = rows.withColumn("at", F.explode(_at(F.col("c"), 1)))
-    rows = rows.select("item", F.col("at").alias("q"), F.slice("c", F.col("at"), WORDS).alias("c"), F.slice("v", F.col("at"), WORDS).alias("slots"))
-    literals = F.size(F.filter("c", lambda x: ~x.startswith("#")))
-    rows = rows.where(literals >= LITERALS).select("item", "q", F.xxhash64("c").alias("h"), F.col("c").alias("kinds"), "slots").dropDuplicates(["item", "q", "h", "slots"])
-    return rows.withColumn("total", F.size(F.collect_set("q").over(W.partitionBy("item"))))
+def _literals(words: Column) -> Column:
+    return F.size(F.filter(words, lambda x: ~x.startswith("#")))
+
+
+def item_texts(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    """(item, c, v, key): the different texts of each item as templates and values; each has a key of its own."""
+    rows = benchmark.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), template(F.col(text)).alias("c"), values(F.col(text)).alias("v"))
+    return rows.dropDuplicates(["item", "c", "v"]).withColumn("key", F.monotonically_increasing_id())
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(key, item, q, h, kinds, slots, total): the usable windows of each text of items, and their number; h is the template's hash."""
+    rows = items.select("key", "item", "c", "v", F.explode(_at(F.col("c"), WORDS)).alias("q"))
+    rows = rows.select("key", "item", "q", F.slice("c", F.col("q"), WORDS).alias("kinds"), F.slice("v", F.col("q"), WORDS).alias("slots"))
+    rows = rows.where(_literals(F.col("kinds")) >= LITERALS).withColumn("h", F.xxhash64("kinds"))
+    return rows.withColumn("total", F.count("*").over(W.partitionBy("key")))
+
+
+def whole_items(items: DataFrame, windows: DataFrame) -> DataFrame:
+    """(key, item, h, kinds, slots, size, anchor, length, verbatim): texts without a usable window, to be met as a whole.
+
+    anchor is the hash of the window of `length` (at most WORDS) words with the most literals. Texts shorter than a window
+    and texts without any literal say too little for other parameters, so they are met verbatim.
+    """
+    c, n = F.col("c"), F.size("c")
+    length = F.least(n, F.lit(WORDS))
+    rows = items.join(windows.select("key").distinct(), "key", "leftanti").where(n >= LITERALS).withColumn("length", length)
+    at = F.array_max(F.transform(F.sequence(F.lit(1), n - F.col("length") + 1), lambda i: F.struct(_literals(F.slice(c, i, F.col("length"))).alias("n"), (-i).alias("i"))))
+    return rows.select(
+        "key", "item", F.xxhash64("c").alias("h"), c.alias("kinds"), F.col("v").alias("slots"), n.alias("size"),
+        F.xxhash64(F.slice(c, -at["i"], F.col("length"))).alias("anchor"), "length", ((n < WORDS) | (_literals(c) == 0)).alias("verbatim"),
+    )
+
+
+def _filled(there: str) -> Column:
+    """(kind, value, there) of the typed slots of a met window."""
+    met = F.zip_with("kinds", F.arrays_zip("slots", F.col(there).alias("v")), lambda k, x: F.struct(k.alias("kind"), x["slots"].alias("value"), x["v"].alias("there")))
+    return F.filter(met, lambda s: s["kind"].isin("#n", "#u", "#p"))
+
+
+def _windows_met(rows: DataFrame, windows: DataFrame) -> DataFrame:
+    """(row, item, n_windows, n_matched) of texts met in SHARE of their windows with consistent slots.
+
+    rows (row, p, h, v). A place of a text is judged on its own: around every diagonal p - q on which a window was met, each
+    window of the item counts at its nearest place within REACH diagonals. A document is also judged as one place, for
+    texts that are torn apart.
+    """
+    c, diagonal = F.col, F.col("p") - F.col("q")
+    met = pin_table(rows.join(windows, "h").select("row", "key", "item", "total", "q", "p", _filled("v").alias("filled")))
+    own = ["row", "key", "item", "total", "place"]
+    enough = c("n") >= F.lit(SHARE) * c("total")
+    near = met.withColumn("place", F.explode(F.sequence((diagonal - REACH).cast("long"), (diagonal + REACH).cast("long"))))
+    near = near.join(met.select("row", "key", diagonal.cast("long").alias("place")).distinct(), ["row", "key", "place"], "leftsemi")
+    near = near.groupBy(*own, "q").agg(F.min(F.struct(F.abs(diagonal - c("place")).alias("off"), "p", "filled")).alias("m"))
+    near = near.withColumn("n", F.count("*").over(W.partitionBy("row", "key", "place"))).where(enough)
+    near = near.select(*own, "q", "m.p", "m.filled")
+    all_met = met.groupBy("row", "key", "total").agg(F.countDistinct("q").alias("n")).where(enough).select("row", "key")
+    torn = met.join(all_met, ["row", "key"], "leftsemi").withColumn("place", F.lit(WHOLE_DOCUMENT)).select(*own, "q", "p", "filled")
+    judged = pin_table(near.unionByName(torn))
+    slots = judged.select("row", "key", "place", "q", "p", F.inline("filled"))
+    usual = slots.groupBy("row", "key", "place", "kind", "value", "there").agg(F.count("*").alias("n"))
+    usual = usual.groupBy("row", "key", "place", "kind", "value").agg(F.max(F.struct("n", "there")).alias("usual"))
+    odd = slots.join(usual, ["row", "key", "place", "kind", "value"]).where("there != usual.there").select("row", "key", "place", "q", "p").distinct()
+    good = judged.join(odd, ["row", "key", "place", "q", "p"], "leftanti")
+    return good.groupBy(*own).agg(F.countDistinct("q").alias("n")).where(enough).select("row", "item", c("total").alias("n_windows"), c("n").alias("n_matched"))
+
+
+def _whole_met(rows: DataFrame, whole: DataFrame) -> DataFrame:
+    """(row, item, n_windows, n_matched) of texts met from their first to their last word, as one window, with consistent slots.
+
+    rows (row, h, v).
+    """
+    met = rows.join(whole, "h").withColumn("filled", _filled("v"))
+    given = F.array_distinct(F.transform("filled", lambda s: F.struct(s["kind"], s["value"])))
+    met = met.where(F.when(F.col("verbatim"), F.col("slots") == F.col("v")).otherwise(F.size(given) == F.size(F.array_distinct("filled"))))
+    return met.select("row", "item", F.lit(1).cast("long").alias("n_windows"), F.lit(1).cast("long").alias("n_matched"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, row: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, item, n_windows, n_matched) of every document and benchmark item of which it holds SHARE of the windows.
 
     `row` must name the rows of docs uniquely and stay the same when docs is read again. Windows of five template words
-    (three of them literal) are joined by hash. First only every fifth window of the documents is looked up, from which
-    the candidates follow: a document with four fifths of an item's windows has a run of nine words of it, and so one of
-    the looked-up windows (items of fewer than thirteen words make this every window). Only the candidates' other
-    windows are then joined. Between an item and a document, every value of a typed slot must become the same value
-    throughout: windows whose slot departs from the most frequent replacement don't count. The benchmark is broadcast
-    if its windows were counted to be at most BROADCAST_ROWS, else shuffled.
-
-    Null texts are empty; null items and items without a usable window (fewer than five words, or mostly placeholders)
-    are not found; rows of an item that repeats are alternatives of it; repeated documents are found each; null rows and
-    empty tables give no result; other columns are not read.
+    (three of them literal) are joined by hash. Every window of the documents is looked up; only documents with a known one
+    are read again with their slots. In one place of a document, every value of a typed slot must become the same value
+    throughout: windows whose slot departs from the most frequent replacement there don't count. One place that holds
+    SHARE of the windows suffices. A text without a usable window (fewer than five words, or mostly placeholders) is one
+    window of its own length; below five words, or without a literal, its values must be the same too. The benchmark is
+    broadcast if its windows were counted to be at most BROADCAST_ROWS, else shuffled; the different lengths of texts that
+    are met as a whole are held on the driver.
+
+    Null texts are empty; null items and items of fewer than three words are not found; rows of an item that repeats are
+    alternatives, each judged by its own windows, and the best one is given; repeated documents are found each; null rows
+    and empty tables give no result; other columns are not read.
     """
-    windows = pin_table(item_windows(benchmark.where(F.col(item).isNotNull()), item, item_text))
-    facts = windows.agg(F.count("*").alias("n"), F.min("total").alias("least")).first()
-    bounded = F.broadcast if facts.n <= BROADCAST_ROWS else (lambda df: df)
-    step = WORDS if (facts.least or 0) >= 13 - WORDS + 1 else 1
+    c = F.col("c")
+    items = pin_table(item_texts(benchmark, item, item_text))
+    windows = pin_table(item_windows(items))
+    whole = pin_table(whole_items(items, windows))
+    bounded = F.broadcast if windows.count() <= BROADCAST_ROWS else (lambda df: df)
+    lengths = [r[0] for r in whole.select("size").distinct().orderBy("size").collect()]
+    anchors = [r[0] for r in whole.select("length").distinct().orderBy("length").collect()]
+    known = windows.select("h").unionByName(whole.select(F.col("anchor").alias("h"))).distinct()
     rows = docs.select(F.col(row).alias("row"), F.col(text).alias("text"))
-    looked_up = rows.select("row", template(F.col("text")).alias("c")).select("row", F.explode(F.transform(_at(F.col("c"), step), lambda i: F.xxhash64(F.slice("c", i, WORDS)))).alias("h"))
-    candidates = looked_up.join(bounded(windows.select("h").distinct()), "h").select("row").distinct()
+    hashes_of = lambda n: F.transform(_at(c, n), lambda i: F.xxhash64(F.slice("c", i, n)))
+    looked_up = rows.select("row", template(F.col("text")).alias("c")).select("row", F.explode(F.concat(*map(hashes_of, sorted({WORDS, *anchors})))).alias("h"))
+    candidates = looked_up.join(bounded(known), "h").select("row").distinct()
     found = rows.join(pin_table(candidates), "row", "leftsemi").select("row", template(F.col("text")).alias("c"), values(F.col("text")).alias("v"))
-    found = found.select("row", F.explode(F.transform(_at(F.col("c"), 1), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice("c", i, WORDS)).alias("h"), F.slice("v", i, WORDS).alias("v")))).alias("w"))
-    found = found.select("row", "w.p", "w.h", "w.v").join(bounded(windows), "h")
-    filled = F.filter(F.zip_with("kinds", F.arrays_zip("slots", "v"), lambda k, x: F.struct(k.alias("kind"), x["slots"].alias("value"), x["v"].alias("there"))), lambda s: s["kind"].isin("#n", "#u", "#p"))
-    found = pin_table(found.select("row", "item", "q", "p", "total", filled.alias("filled")))
-    slots = found.select("row", "item", "q", "p", F.explode("filled").alias("s")).select("row", "item", "q", "p", "s.*")
-    usual = slots.groupBy("row", "item", "kind", "value", "there").agg(F.count("*").alias("n"))
-    usual = usual.groupBy("row", "item", "kind", "value").agg(F.max_by("there", F.struct("n", "there")).alias("usual"))
-    odd = slots.join(usual, ["row", "item", "kind", "value"]).where("there != usual").select("row", "item", "q", "p").distinct()
-    good = found.join(odd, ["row", "item", "q", "p"], "leftanti")
-    matched = good.groupBy("row", "item").agg(F.countDistinct("q").alias("n_matched"), F.max("total").alias("n_windows"))
-    return matched.where(F.col("n_matched") >= F.lit(SHARE) * F.col("n_windows")).select("row", "item", "n_windows", "n_matched")
+    window = lambda n: F.transform(_at(c, n), lambda i: F.struct(i.alias("p"), F.xxhash64(F.slice("c", i, n)).alias("h"), F.slice("v", i, n).alias("v")))
+    met = _windows_met(found.select("row", F.inline(window(WORDS))), bounded(windows))
+    if lengths:
+        met = met.unionByName(_whole_met(found.select("row", F.inline(F.concat(*map(window, lengths)))), bounded(whole)))
+    best = met.groupBy("row", "item").agg(F.max(F.struct((F.col("n_matched") / F.col("n_windows")).alias("share"), "n_windows", "n_matched")).alias("b"))
+    return best.select("row", "item", "b.n_windows", "b.n_matched")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

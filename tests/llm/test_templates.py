@@ -1,5 +1,5 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import regex
 from roadweave.llm import templates as t
@@ -28,29 +28,46 @@ def plain(text):
     return out, slots
 
 
+def _judge(hits, total):
+    """Number of windows of one place whose slots agree; hits (q, filled)."""
+    counts = Counter(x for _, f in hits for x in f)
+    usual = {}
+    for (k, a, b), n in counts.items():
+        usual[k, a] = max(usual.get((k, a), (0, "")), (n, b))
+    good = {q for q, f in hits if all(usual[k, a][1] == b for k, a, b in f)}
+    return len(good) if len(good) >= 0.8 * total else 0
+
+
 def brute(docs, items):
-    windows = defaultdict(set)
-    for item, text in items:
-        c, v = plain(text)
-        for q in range(len(c) - 4):
-            if sum(not x.startswith("#") for x in c[q : q + 5]) >= 3:
-                windows[item].add((q, tuple(c[q : q + 5]), tuple(v[q : q + 5])))
+    """One place that holds four fifths of a text's windows suffices; texts without a window are met as a whole."""
+    texts = [(item, *plain(text)) for item, text in items]
     out = []
     for key, text in docs:
         c, v = plain(text)
-        here = defaultdict(list)
-        for p in range(len(c) - 4):
-            here[tuple(c[p : p + 5])].append((p, v[p : p + 5]))
-        for item, own in windows.items():
-            hits = [(q, p, [(k, a, b) for k, a, b in zip(w, s, vals, strict=True) if k in ("#n", "#u", "#p")]) for q, w, s in own for p, vals in here.get(w, [])]
-            counts = Counter(x for *_, f in hits for x in f)
-            usual = {}
-            for (k, a, b), n in counts.items():
-                usual[k, a] = max(usual.get((k, a), (0, "")), (n, b))
-            good = {q for q, _, f in hits if all(usual[k, a][1] == b for k, a, b in f)}
-            total = len({q for q, *_ in own})
-            if len(good) >= 0.8 * total:
-                out.append((key, item, total, len(good)))
+        best = {}
+        for item, ic, iv in texts:
+            typed = lambda q, p, n: tuple((k, a, b) for k, a, b in zip(ic[q : q + n], iv[q : q + n], v[p : p + n], strict=True) if k in ("#n", "#u", "#p"))  # noqa: B023, E731
+            usable = [q for q in range(len(ic) - 4) if sum(not x.startswith("#") for x in ic[q : q + 5]) >= 3]
+            found = []
+            if usable:
+                hits = [(q, p, typed(q, p, 5)) for q in usable for p in range(len(c) - 4) if c[p : p + 5] == ic[q : q + 5]]
+                found.append(_judge([(q, f) for q, _, f in hits], len(usable)))
+                for d in {p - q for q, p, _ in hits}:
+                    nearest = {}
+                    for q, p, f in hits:
+                        if abs(p - q - d) <= t.REACH:
+                            nearest[q] = min(nearest.get(q, (99, 0, ())), (abs(p - q - d), p, f))
+                    found.append(_judge([(q, f) for q, (_, _, f) in nearest.items()], len(usable)))
+            elif len(ic) >= 3:
+                for p in range(len(c) - len(ic) + 1):
+                    if c[p : p + len(ic)] == ic:
+                        f = set(typed(0, p, len(ic)))
+                        verbatim = len(ic) < 5 or all(x.startswith("#") for x in ic)
+                        found.append(int(v[p : p + len(ic)] == iv if verbatim else len(f) == len({x[:2] for x in f})))
+            total = len(usable) or 1
+            if found and max(found):
+                best[item] = max(best.get(item, (0, 0, 0)), (max(found) / total, total, max(found)))
+        out += [(key, item, total, n) for item, (_, total, n) in best.items()]
     return out
 
 
@@ -116,3 +133,28 @@ def test_long_items_only_and_empty_tables(spark, tmp_path):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert t.find(none, bench).count() == 0
     assert t.find(spark.read.parquet(path), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def probe(spark, tmp_path, items, docs):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(path)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted(tuple(r) for r in t.find(spark.read.parquet(path), bench).collect())
+    assert got == sorted(brute(docs, items))
+    return [r[:2] for r in got]
+
+
+def test_an_item_twice_in_a_document_with_other_values(spark, tmp_path):
+    item = "a hall of 12 by 30 feet joins a room of 44 by 55 feet , so how large is the floor of 12 by 30 and of 44 by 55 feet in all"
+    other = lambda *new: " ".join({"12": new[0], "30": new[1], "44": new[2], "55": new[3]}.get(w, w) for w in item.split())
+    one, two, mixed = other("13", "31", "47", "58"), other("61", "72", "83", "94"), other("1", "2", "3", "4").replace("of 1 by 2 and", "of 7 by 9 and").replace("of 3 by 4 feet in", "of 5 by 6 feet in")
+    torn = " ".join([*item.split()[:14], *(f"x{chr(97 + i)}" for i in range(20)), *item.split()[14:]])
+    docs = [(1, one), (2, f"{one} and then {two}"), (3, f"{one} {two}"), (4, mixed), (5, f"so {item} {one} {two} {other('5', '6', '7', '8')}"), (6, torn)]
+    got = probe(spark, tmp_path, [(1, item)], docs)
+    assert [r for r, _ in got if r != 6] == [1, 2, 3, 5]
+
+
+def test_short_and_number_heavy_items(spark, tmp_path):
+    items = [(1, "What is 17 * 23 + 4 ?"), (2, "solve for x"), (3, "17 + 4"), (4, "x"), (5, "the sum of all the first ten odd numbers"), (5, "sum up it"), (6, "3 + 4 = 7 - 0")]
+    docs = [(1, "Well. What is 17 * 23 + 4 ? Say."), (2, "so: What is 18 * 29 + 5 ?"), (3, "please solve for x now"), (4, "17 + 4"), (5, "17 + 5"), (6, "sum up it"), (7, "x"), (8, "What is 18 * 29 + 5"), (9, "3 + 4 = 7 - 0"), (10, "2 + 4 = 6 - 0")]
+    assert probe(spark, tmp_path, items, docs) == [(1, 1), (2, 1), (3, 2), (4, 3), (6, 5), (9, 6)]
