@@ -25,15 +25,22 @@ _PATTERN = re.compile(
   | (?P<secret> (?<![A-Za-z0-9]) AKIA [0-9A-Z]{16} (?![A-Za-z0-9]) | (?<= password= ) [!-~]{6,} | (?<= token\x20=\x20" ) [^"\s]{8,} (?=") )
   | (?P<iban> (?<![A-Za-z0-9]) [A-Z]{2} [0-9]{2} (?: \x20? [A-Z0-9]{4} ){2,7} (?: \x20? [A-Z0-9]{1,3} )? (?![A-Za-z0-9]) )
   | (?P<date> (?<![0-9./-]) (?: (?:19|20)[0-9]{2} (?P<_y>[-/.]) [0-9]{1,2} (?P=_y) [0-9]{1,2} | [0-9]{1,2} (?P<_d>[-/.]) [0-9]{1,2} (?P=_d) (?:19|20)[0-9]{2} ) (?! [0-9] | [./-][0-9] ) )
-  | (?P<ip> (?<![0-9.]) (?: [0-9]{1,3} \. ){3} [0-9]{1,3} (?! [0-9] | \.[0-9] ) )
+  | (?P<ip> (?<![0-9.]) (?<!ersion\x20) (?<![vV]) (?: [0-9]{1,3} \. ){3} [0-9]{1,3} (?! [0-9] | \.[0-9] ) )
   | (?P<ssn> (?<![0-9-]) [0-9]{3} - [0-9]{2} - [0-9]{4} (?! [0-9] | -[0-9] ) )
-  | (?P<phone> (?<![0-9A-Za-z+]) (?: \+ [0-9]{1,3} [\x20.-]? (?: \( [0-9]{2,4} \) [\x20.-]? )? [0-9]{2,4} (?: [\x20.-] [0-9]{2,4} ){1,4}
-                                  | \( [0-9]{3} \) \x20? [0-9]{3} [-.\x20] [0-9]{4} | [0-9]{3} (?P<_p>[-.]) [0-9]{3} (?P=_p) [0-9]{4} ) (?! [0-9] | [.-][0-9] ) )
+  | (?P<phone> (?<![0-9A-Za-z+]) (?: \+ [0-9]{1,3} [\x20.-]? (?: \( [0-9]{1,5} \) [\x20.-]? )? [0-9]{2,12} (?: [\x20./-] [0-9]{2,8} ){0,4}
+                                  | \( [0-9]{3} \) \x20? [0-9]{3} [-.\x20] [0-9]{4} | [0-9]{3} (?P<_p>[-.]) [0-9]{3} (?P=_p) [0-9]{4}
+                                  | (?<![0-9][./-]) (?: \( 0 [1-9][0-9]{1,4} \) \x20? | 0 [1-9][0-9]{1,4} [\x20/-] ) [0-9]{3,8} (?: [\x20-] [0-9]{2,5} ){0,2} ) (?! [0-9] | [./-][0-9] ) )
   | (?P<card> (?<![0-9A-Za-z.,-]) [3-6] (?: [\x20-]? [0-9] ){12,18} (?! [0-9A-Za-z] | [.,-][0-9] ) )
     """,
     re.VERBOSE,
 )
-_HINT = re.compile(r"[0-9@]|password=")
+_HINT = re.compile(r'[0-9@]|AKIA|password=|token = "')  # every pattern holds one of these
+_NATIONAL = re.compile(r"\(?0[1-9]")
+_AMERICAN = re.compile(r"\([0-9]{3}\) ?[0-9]{3}[-. ][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}")
+#: The country codes of one and of two digits; all others have three.
+_COUNTRY = re.compile(
+    r"\+(?:1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52|53|54|55|56|57|58|60|61|62|63|64|65|66|81|82|84|86|90|91|92|93|94|95|98|[0-9]{1,3})"
+)
 
 
 class Permutation:
@@ -143,42 +150,50 @@ def _ssn(text: str, key: bytes, back: bool) -> str | None:
 
 
 def _phone(text: str, key: bytes, back: bool) -> str | None:
-    country = re.match(r"\+[0-9]{1,3}", text)
-    head = country[0] if country else ""
+    """The country code, or the first two digits of a number with its national prefix, stay."""
+    head, least = "", 7
+    if text[0] == "+":
+        head = _COUNTRY.match(text)[0]
+    elif not _AMERICAN.fullmatch(text):
+        head, least = _NATIONAL.match(text)[0], 9
     digits = "".join(c for c in text[len(head) :] if c in _DIGITS)
-    if not 7 <= len(digits) + len(head) - 1 * bool(head) <= 15 or len(digits) < 6:
+    if not least <= len(digits) + sum(c in _DIGITS for c in head) <= 15 or len(digits) < 6:
         return None
-    return head + _refill(text[len(head) :], _permuted(digits, [_DIGITS] * len(digits), key, f"phone|{head}", back))
+    return head + _refill(text[len(head) :], _permuted(digits, [_DIGITS] * len(digits), key, f"phone|{head.lstrip('(')}", back))
 
 
 def _date(text: str, key: bytes, back: bool) -> str | None:
     a, mark, b, _, c = re.split(r"([-/.])", text)
     year_first = len(a) == 4
-    year, x, y = (int(a), int(b), int(c)) if year_first else (int(c), int(a), int(b))
-    month_first = year_first or mark == "/" and x <= 12  # 1/2/2020 is read as January 2; 13/2/2020 can only be February 13
+    year, x, y = (a, b, c) if year_first else (c, a, b)
+    month_first = year_first or mark == "/" and int(x) <= 12  # 1/2/2020 is read as January 2; 13/2/2020 can only be February 13
     try:
-        day = datetime.date(year, *((x, y) if month_first else (y, x))).toordinal()
+        day = datetime.date(int(year), *map(int, (x, y) if month_first else (y, x))).toordinal()
     except ValueError:
         return None
-    # the order is part of the format: a slashed date stays in the same one only if its day is beyond 12 or its month leads
-    if mark == "/" and not year_first:
-        ranks = _slashed(month_first)
-        day = ranks[0][Permutation(key, f"date|{month_first}", len(ranks[0]))(ranks[1][day], back)]
-    else:
-        day = _FIRST_DAY + Permutation(key, "date", _LAST_DAY - _FIRST_DAY + 1)(day - _FIRST_DAY, back)
-    new = datetime.date.fromordinal(day)
-    x, y = (new.month, new.day) if month_first else (new.day, new.month)
-    return f"{new.year}{mark}{x:02d}{mark}{y:02d}" if year_first else f"{x:02d}{mark}{y:02d}{mark}{new.year}"
+    # order and widths are part of the format: a slashed date stays in the same one only if its day is beyond 12 or its month leads
+    late = mark == "/" and not month_first
+    widths = (len(x), len(y)) if month_first else (len(y), len(x))
+    slashed = f"{month_first}" if mark == "/" and not year_first else ""
+    days, ranks = _days(late, *widths)
+    tweak = "date" if (late, *widths) == (False, 2, 2) and not slashed else f"date|{slashed}|{widths}"
+    new = datetime.date.fromordinal(days[Permutation(key, tweak, len(days))(ranks[day], back)])
+    x, y = f"{new.month:0{widths[0]}d}", f"{new.day:0{widths[1]}d}"
+    x, y = (x, y) if month_first else (y, x)
+    return f"{new.year}{mark}{x}{mark}{y}" if year_first else f"{x}{mark}{y}{mark}{new.year}"
 
 
-_SLASHED: dict[bool, tuple[list[int], dict[int, int]]] = {}
+_DAYS: dict[tuple[bool, int, int], tuple[list[int], dict[int, int]]] = {}
 
 
-def _slashed(month_first: bool) -> tuple[list[int], dict[int, int]]:
-    if month_first not in _SLASHED:
-        days = [d for d in range(_FIRST_DAY, _LAST_DAY + 1) if month_first or datetime.date.fromordinal(d).day > 12]
-        _SLASHED[month_first] = days, {d: i for i, d in enumerate(days)}
-    return _SLASHED[month_first]
+def _days(late: bool, month_width: int, day_width: int) -> tuple[list[int], dict[int, int]]:
+    """The days that can be written in these widths (of one digit: 1 to 9), late ones after the 12th, and their ranks."""
+    shape = late, month_width, day_width
+    if shape not in _DAYS:
+        fits = lambda d: (d.day > 12 or not late) and (d.month < 10 or month_width == 2) and (d.day < 10 or day_width == 2)
+        days = [d for d in range(_FIRST_DAY, _LAST_DAY + 1) if fits(datetime.date.fromordinal(d))]
+        _DAYS[shape] = days, {d: i for i, d in enumerate(days)}
+    return _DAYS[shape]
 
 
 def _secret(text: str, key: bytes, back: bool) -> str | None:
@@ -194,10 +209,10 @@ _MAKERS = {"email": _email, "card": _card, "iban": _iban, "ip": _ip, "ssn": _ssn
 
 def _tries(kind: str, text: str) -> list[str]:
     """A match and, for patterns that run into the words or numbers behind a value, its shorter beginnings by whole groups, longest first."""
-    least = {"card": 13, "iban": 15}.get(kind)
+    least = {"card": 13, "iban": 15, "phone": 7}.get(kind)
     if least is None:
         return [text]
-    ends = [i for i, c in enumerate(text) if c in " -" and sum(x not in " -" for x in text[:i]) >= least]
+    ends = [i for i, c in enumerate(text) if c in " -/." and sum(x.isalnum() for x in text[:i]) >= least]
     return [text, *(text[:i] for i in reversed(ends))]
 
 
@@ -238,9 +253,11 @@ def replace(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "te
 
     Cards (Luhn), account numbers (mod 97), addresses of four bytes, social security numbers, telephone numbers, dates
     of 1900 to 2099, e-mail names, access keys, passwords and tokens are validated and permuted among the valid values
-    of the same format under the secret (days and
-    months get two digits), so a value has the same pseudonym in every document and who holds the secret
-    can go back. A card or account number that digits or capitals follow is found by the groups it ends with, and the search
+    of the same format under the secret, so a value has the same pseudonym in every document and who holds the secret
+    can go back. Telephone numbers are international, North American, or national with a leading zero and at least nine
+    digits; country codes stay. A date keeps its order and the widths of its day and month, so one day has one pseudonym in
+    each of these formats; with four-digit year first or dots, and two digits each, it is the same one. Four bytes after
+    "v" or "version" are a version. A card or account number that digits or capitals follow is found by the groups it ends with, and the search
     goes on inside what doesn't validate, which stays as it is. Null texts stay null, with no spans; null keys and repeated rows
     are kept; an empty table gives no rows; other columns are not read. Whole texts are searched.
     """
