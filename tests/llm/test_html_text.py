@@ -61,3 +61,38 @@ def test_text_beside_teaser_articles():
     teasers = "".join(f"<article><a href=/{i}>Teaser {i}</a></article>" for i in range(4))
     got = main_text(f"<div>{text}</div><div>{teasers}</div>")
     assert got.count("A sentence") == 24 and "Teaser 3" not in got
+
+
+def test_class_words_that_do_not_say_boilerplate():
+    body = "<p>The text of the page, long enough to be read.</p>"
+    want = "The text of the page, long enough to be read."
+    for page in (
+        f'<article class="post category-social tag-newsletter">{body}</article>',
+        f'<div class="search-results"><article>{body}</article></div>',
+        f'<div class="comment-free">{body}</div>',
+        f'<div class="search-results">{body}</div><div class="cookie-notice"><p>We use cookies.</p></div>',
+    ):
+        assert main_text(page) == want, page
+    for name in ("comments", "comment-list", "disqus_thread", "reader-comments"):
+        readers = "<p>I liked this article a lot, thanks for writing all of it!</p>" * 20
+        assert main_text(f"<article>{body}</article><div class='{name}'>{readers}</div>") == want
+        assert main_text(f"<div>{body}</div><section id='{name}'><article class=comment>{readers}</article></section>") == want
+
+
+def test_blocks_end_open_paragraphs_and_items():
+    text = "".join(f"<p>{'A sentence of the text that matters here. ' * 4}{i}</p>" for i in range(3))
+    for start in ("<p class='notice'>Notice: old.", "<p class=ad>Buy.<b>Now", "<ul><li class=ad>Buy.<li>One</ul>"):
+        got = main_text(f"<article>{start}<h2>Head</h2>{text}</article>")
+        assert got.count("A sentence") == 12 and "Head" in got and "Buy" not in got and "Notice" not in got, start
+    assert main_text("<article><p>Let <math><mi>x</mi><annotation>x^2</annotation></math> hold.</p></article>") == "Let x hold."
+
+
+def test_short_paragraphs_of_a_block_stay():
+    text = "".join(f"<p>{'A sentence of the text that matters here. ' * 4}{i}</p>" for i in range(5))
+    links = "".join(f"<li><a href=/{i}>entry {i}</a></li>" for i in range(12))
+    got = main_text(f"<div><ul>{links}</ul></div><div>{text}<p>Yes.</p><p>No.</p><p>So.</p><p>End.</p></div><div><ul>{links}</ul></div>")
+    assert got.endswith("Yes.\nNo.\nSo.\nEnd.") and "entry" not in got
+
+
+def test_deep_nesting():
+    assert main_text("<div>" * 20_000 + "Deep text." + "</div>" * 20_000) == "Deep text."
