@@ -46,32 +46,27 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
     return arrow_rows(docs.select(key, text), f"`{key}` {kind}, fp long", make)
 
 
-def _cells(fp: Column, max_distance: int) -> Column:
-    """Grid cells of a fingerprint: one set for each group of bits.
+def _in_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """nodes with one row for every grid cell (g, c) of their fp: one set of cells for each group of bits.
 
     With g = max_distance // 3 + 1 groups, fingerprints within max_distance differ by at most 2 bits in some group.
     A group is embedded as the popcounts (0 to 2) of its segments of two bits, packed into one long. The Manhattan
     distance of two embeddings is at most the bit distance, so such a pair has embeddings within 2 of each other, and
     then a lattice point within 1 of both. Each side lists the points within 1: equal cells find all pairs within 2.
     """
-    groups, out = max_distance // 3 + 1, []
+    groups, embedded = max_distance // 3 + 1, []
     for g in range(groups):
         first, last = (BITS * g // groups) // 2 * 2, (BITS * (g + 1) // groups) // 2 * 2
-        x = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << (last - first)) - 1 if last - first < 64 else -1))
+        x = F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << (last - first)) - 1 if last - first < 64 else -1))
         counts = x.bitwiseAND(F.lit(_LOW)) + F.shiftrightunsigned(x, 1).bitwiseAND(F.lit(_LOW))
-        cell = lambda c, g=g: F.struct(F.lit(g).cast("byte").alias("g"), c.alias("c"))
-        out.append(cell(counts))
-        for i in range(0, last - first, 2):
-            digit = F.shiftrightunsigned(counts, i).bitwiseAND(F.lit(3))
-            out.append(F.when(digit < 2, cell(counts + F.lit(1 << i))))
-            out.append(F.when(digit > 0, cell(counts - F.lit(1 << i))))
-    return F.array(*out)
-
-
-def _in_cells(nodes: DataFrame, max_distance: int) -> DataFrame:
-    """nodes with one row for every cell (g, c) of their fp."""
-    cells = nodes.withColumn("cell", F.explode(_cells(F.col("fp"), max_distance))).where("cell is not null")
-    return cells.select(*nodes.columns, "cell.g", "cell.c")
+        embedded.append(F.struct(F.lit(g).cast("byte").alias("g"), counts.alias("counts"), F.lit(last - first - 2).alias("top")))
+    rows = nodes.select(*nodes.columns, F.inline(F.array(*embedded)))
+    one = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    digit = lambda i: F.call_function("shiftrightunsigned", F.col("counts"), i).bitwiseAND(F.lit(3))
+    places = F.sequence(F.lit(0), F.col("top"), F.lit(2))
+    more = F.transform(F.filter(places, lambda i: digit(i) < 2), lambda i: F.col("counts") + one(i))
+    less = F.transform(F.filter(places, lambda i: digit(i) > 0), lambda i: F.col("counts") - one(i))
+    return rows.select(*nodes.columns, "g", F.explode(F.concat(F.array("counts"), more, less)).alias("c"))
 
 
 def _near(a: str, b: str, max_distance: int) -> Column:
@@ -109,10 +104,10 @@ def connected(fps: DataFrame, max_distance: int = 4) -> DataFrame:
     heads = pin_table(heads.where("n > 1").drop("n"))
     stars = cells.join(heads, ["g", "c"]).where((F.col("fp") != F.col("head")) & _near("fp", "head", max_distance))
     stars = pin_table(stars.select(F.col("head").alias("a"), F.col("fp").alias("b")).distinct())
-    known = connected_components(stars, "a", "b")
+    known = pin_table(connected_components(stars, "a", "b"))
     rooted = nodes.join(known, nodes.fp == known.node, "left").select("fp", F.coalesce("root", "fp").alias("root"))
     rest = pin_table(links(rooted.repartition(parts, "fp"), max_distance))
-    return connected_components(stars.unionAll(rest), "a", "b")
+    return connected_components(known.select(F.col("root").alias("a"), F.col("node").alias("b")).unionAll(rest), "a", "b")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 4, max_distance: int = 4) -> DataFrame:
