@@ -403,6 +403,20 @@ def _hausdorff() -> str:
     return _q(AXES, f"SELECT i AS route_id, greatest({', '.join(terms)})::DECIMAL(18,4) AS hausdorff_distance FROM ax")
 
 
+def _chain_hausdorff() -> str:
+    """Vertices of either chain against every segment of the other one; side 1 has all orders, side 2 those that are not urgent."""
+    chains = GRID + """,
+s AS (SELECT * FROM seg, (VALUES (1), (2)) AS sides(side) WHERE side = 1 OR pr <> '1-URGENT'),
+v AS (SELECT side, cust, i, k, CASE WHEN (st = 'F') = (k = 1) THEN x2 ELSE x1 END AS x, CASE WHEN (st = 'F') = (k = 1) THEN y2 ELSE y1 END AS y
+  FROM s, (VALUES (1), (2)) AS n(k)),
+p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v WINDOW w AS (PARTITION BY side, cust ORDER BY i, k))"""
+    far = _pt_seg(("a.x", "a.y"), ("b.px", "b.py"), ("b.x", "b.y"))
+    chains += f""",
+near AS (SELECT a.cust, a.side, a.i, a.k, min({far}) AS d FROM p a JOIN p b ON a.cust = b.cust AND a.side <> b.side
+  WHERE b.px <> b.x OR b.py <> b.y GROUP BY ALL)"""
+    return _q(chains, "SELECT cust AS route_id, max(d)::DECIMAL(18,4) AS hausdorff_distance FROM near GROUP BY cust")
+
+
 def _frechet() -> str:
     d = ", ".join(
         f"sqrt((ax{m}-x{n})*(ax{m}-x{n})+(ay{m}-y{n})*(ay{m}-y{n})) AS d{m}{n}" for m in (1, 2, 3) for n in (1, 2)
@@ -535,6 +549,7 @@ nn AS (SELECT point_id, min(struct_pack(d := sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy)),
     out["line_overlap"] = _overlap(2.0)
     out["line_hausdorff"] = _hausdorff()
     out["line_frechet"] = _frechet()
+    out["chain_hausdorff"] = _chain_hausdorff()
     out["merged_lines"] = _q(
         GRID
         + """,

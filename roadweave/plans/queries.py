@@ -442,14 +442,24 @@ def line_frechet(spark: SparkSession, d: str) -> DataFrame:
     return compare.frechet(*_line_pairs(spark, d))
 
 
-def merged_lines(spark: SparkSession, d: str) -> DataFrame:
-    """All orders of a customer chained to one line in key order, every status-F edge turned round."""
-    steps = N._cells(N.table(spark, d, "orders")).selectExpr(
+def _chains(orders: DataFrame) -> DataFrame:
+    """The orders of each customer chained to one line in key order, every status-F edge turned round."""
+    steps = N._cells(orders).selectExpr(
         "o_custkey AS pair_id", "i AS seq", "o_orderstatus = 'F' AS backward",
         f"array({N._grid('c1', 'r1')}, {N._grid('c2', 'r2')}) AS pts",
     )
-    lines = compare.route_lines(steps)
-    return lines.select("route_id", F.size("pts").alias("vertices"), line_length(F.col("pts")).cast("decimal(14,3)").alias("length"))
+    return compare.route_lines(steps)
+
+
+def merged_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Size and length of the chained line of each customer."""
+    return _chains(N.table(spark, d, "orders")).select("route_id", F.size("pts").alias("vertices"), line_length(F.col("pts")).cast("decimal(14,3)").alias("length"))
+
+
+def chain_hausdorff(spark: SparkSession, d: str) -> DataFrame:
+    """Each customer's line of all orders against the line of those that are not urgent: lines of many vertices."""
+    orders = N.table(spark, d, "orders")
+    return compare.hausdorff(_chains(orders), _chains(orders.filter("o_orderpriority <> '1-URGENT'")))
 
 
 def route_means(spark: SparkSession, d: str) -> DataFrame:
@@ -490,5 +500,5 @@ REGISTRY = [
     serial_ids, sample_points, od_pairs, missing_points, next_route_id, nearest_edge, nearest_node, split_edges,
     snapped_points, snapped_network, catchment_community, catchment_authority, catchment_both, restriction_remap,
     route_steps, turn_route_steps, route_status, route_compare, line_overlap, line_hausdorff, line_frechet,
-    merged_lines, route_means, key_audit, orphan_audit, upsert_rows,
+    chain_hausdorff, merged_lines, route_means, key_audit, orphan_audit, upsert_rows,
 ]
