@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-QUERY_ROWS, CANDIDATE_ROWS, GROUP_ROWS = 512, 2048, 1 << 17
+QUERY_ROWS, CANDIDATE_ROWS = 512, 2048
 _EXACT = float(1 << 53)
 
 
@@ -75,7 +76,14 @@ def _blocks(table: DataFrame, scale: int, rows: int, k: int = 0) -> DataFrame:
     return table.mapInArrow(run, "dim int, ids binary, x binary, floor binary")
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, among: bool = True) -> DataFrame:
+def _dealt(spark: SparkSession, share: float) -> tuple[int, int]:
+    """Groups of candidates and of queries: together as many pairs as the session has tasks, and the least copying of both."""
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    of_queries = max(1, math.isqrt(int(tasks * share)))
+    return -(-tasks // of_queries), of_queries
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256, among: bool = True, share: float = 1 / 50) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k highest integer inner products; ties go to the smaller id.
 
     Both tables have an id and a vector; a component x counts as floor(scale * x). The squared distance of two vectors
@@ -83,18 +91,24 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 5, scale: int = 25
     deviations, or, with the norms known, their inner product is at most the same sums of products. A pair of blocks is
     tested with one segment, then with four times as many, and only for candidates that could still reach some query's
     k-th best score so far the exact product is taken. That score starts from the query's own block of queries (`among`:
-    the queries are candidates too) and grows with each block. Candidate blocks are dealt into groups, and the queries' blocks
-    go to each group: no row of either table is ever alone with all of the other.
+    the queries are candidates too) and grows with each block. Blocks of candidates and blocks of queries are dealt into groups, and
+    each pair of groups is work of its own; there are as many pairs as tasks, at any size, so a candidate is copied once
+    a group of queries and a query once a group of candidates. `share` is about how many queries there are per candidate; it sets
+    the shape of the groups, never the result.
 
     A query is not compared with rows of its own id. Vectors that are null, or hold null or non-finite components, and null
     ids take no part; vectors are compared with those of their own length only; an id that repeats counts once, with its
     best score, so repeated rows change nothing. Queries without candidates, and empty tables, give no rows. Scores
     beyond 2^53 raise an error.
     """
-    groups = max(1, -(-candidates.count() // GROUP_ROWS))
-    blocks = _blocks(candidates, scale, CANDIDATE_ROWS).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups).cast("long")))
-    asked = _blocks(queries, scale, QUERY_ROWS, k if among else 0).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
-    pairs = blocks.drop("floor").join(asked.select("dim", "g", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "floor"), ["dim", "g"])
+    groups, q_groups = _dealt(candidates.sparkSession, share)
+    own = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n).cast("long"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    blocks = _blocks(candidates, scale, CANDIDATE_ROWS).select("dim", "ids", "x", own(groups).alias("g"), each(q_groups).alias("h"))
+    asked = _blocks(queries, scale, QUERY_ROWS, k if among else 0)
+    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("x").alias("q_x"), "floor", own(q_groups).alias("h"), each(groups).alias("g"))
+    # dealt by hand: a small table would be joined where it was read, in one task
+    pairs = blocks.repartition(groups * q_groups, "dim", "g", "h").join(asked, ["dim", "g", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, np.ndarray] = {}  # k-th best scores so far, by block of queries

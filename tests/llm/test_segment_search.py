@@ -29,14 +29,14 @@ def test_against_brute_force(spark, monkeypatch):
     import numpy as np
 
     rows = [(i, v if v is None else [x if x is None else float(np.float32(x)) for x in v], *r) for i, v, *r in rows]
-    table = spark.createDataFrame(rows, schema).repartition(3).select("vec_id", "embedding")
+    table = spark.createDataFrame(rows, schema).repartition(3)
     want = brute(rows, lambda q: q % 50 == 0, 5)
     for size in (2048, 16):
         monkeypatch.setattr(segment_search, "CANDIDATE_ROWS", size)
         monkeypatch.setattr(segment_search, "QUERY_ROWS", max(3, size // 8))
-        monkeypatch.setattr(segment_search, "GROUP_ROWS", 8 * size)
-        got = segment_search.top_k(table, table.where("vec_id % 50 = 0")).collect()
-        assert sorted(tuple(r) for r in got) == want
+        for share in (1 / 50, 1.0, 4.0):  # one, some and many groups of queries
+            got = segment_search.top_k(table, table.where("vec_id % 50 = 0"), share=share).collect()
+            assert sorted(tuple(r) for r in got) == want
 
 
 def test_other_queries_and_no_rows(spark):
