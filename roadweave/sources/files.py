@@ -73,13 +73,32 @@ def tag_columns(tags: Column, columns: list[str] | None = None) -> list[Column]:
     return [F.try_element_at(tags, F.lit(t)).alias(t) for t in (columns or LINE_TAGS)]
 
 
+#: The five named references of XML.
+NAMED_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}
+
+
+def decoded(text: Column) -> Column:
+    """Text with its named and numeric character references decoded, each once; what is no reference stays as it is."""
+
+    def piece(p: Column, i: Column) -> Column:
+        name = F.substring_index(p, ";", 1)
+        number = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 7).cast("long")).when(
+            name.rlike("^#x[0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, 3, 6), 16, 10).cast("long")
+        )
+        allowed = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)  # the rest are no characters
+        found = F.when(allowed, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        for known, char in NAMED_REFERENCES.items():
+            found = F.when(name == known, F.lit(char)).otherwise(found)
+        rest = F.substring(p, F.length(name) + 2, F.length(p))
+        return F.when(i == 0, p).when(p.contains(";") & found.isNotNull(), F.concat(found, rest)).otherwise(F.concat(F.lit("&"), p))
+
+    return F.array_join(F.transform(F.split(text, "&"), piece), "")
+
+
 def _attribute(body: Column, name: str) -> Column:
-    """Value of an XML attribute, its five named references decoded; NULL where it is missing."""
+    """Value of an XML attribute as it is written; NULL where it is missing."""
     quoted = F.regexp_extract(body, rf"(?:^|\s){name}\s*=\s*(\"[^\"]*\"|'[^']*')", 1)
-    value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
-    for code, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        value = F.replace(value, F.lit(code), F.lit(c))
-    return F.when(quoted != "", value)
+    return F.when(quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - 2))
 
 
 def osm_records(spark: SparkSession, path: str) -> DataFrame:
@@ -99,7 +118,7 @@ def osm_records(spark: SparkSession, path: str) -> DataFrame:
     get = lambda name: _attribute(F.col("body"), name)
     return found.select(
         "kind", get("id").cast("long").alias("id"), get("lon").cast("double").alias("x"), get("lat").cast("double").alias("y"),
-        get("ref").cast("long").alias("ref"), get("k").alias("k"), get("v").alias("v"), F.col("body").endswith("/").alias("empty"), "file", "block", "nth",
+        get("ref").cast("long").alias("ref"), decoded(get("k")).alias("k"), decoded(get("v")).alias("v"), F.col("body").endswith("/").alias("empty"), "file", "block", "nth",
     )
 
 

@@ -1,5 +1,6 @@
 """Selection, speed and weight rules, projections, comparison measures: hand-made cases."""
 
+import hashlib
 import math
 
 import pytest
@@ -139,12 +140,18 @@ def test_route_lines_and_comparison(spark):
     assert float(got[0].driving_time_diff) == 1 and got[0].authority_distance is None
 
 
-def test_sampling_and_pairing(spark):
+def test_sampling_and_pairing(spark, monkeypatch):
     homes = spark.range(5).selectExpr("id", "double(id) x", "0.0D y")
     first, again = (sorted(map(tuple, batch.sample_points(homes, 3, "s").collect())) for _ in range(2))
     assert first == again and len({r[1] for r in first}) == 3 and [r[0] for r in first] == [1, 2, 3]
     with pytest.raises(ValueError):
         batch.sample_points(homes, 6)
+    many = spark.range(3000).selectExpr("id % 2500 AS id", "double(id) x", "0.0D y")  # repeated ids share a draw
+    for prefix, n in ((0, 7), (1, 0), (1, 700), (2, 3000), (4, 41)):
+        monkeypatch.setattr(batch, "PREFIX", prefix)
+        want = sorted((hashlib.md5(f"s:{i % 2500}".encode()).hexdigest(), i % 2500) for i in range(3000))[:n]
+        assert [r.address_id for r in batch.sample_points(many, n, "s").orderBy("id").collect()] == [i for _, i in want]
+    assert batch.sample_points(homes.limit(0), 0).count() == 0
     assert [tuple(r) for r in batch.pair_points(homes).orderBy("pair_id").collect()] == [(1, 0, 1), (2, 2, 3)]
     with pytest.raises(ValueError):
         batch.require_ids(spark.createDataFrame([(9,)], "start_id long"), homes, "start_id")

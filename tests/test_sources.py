@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from roadweave.operators.assemble import filter_car_roads, rename_tags
 from roadweave.sources import files, tables
 
@@ -54,6 +56,17 @@ def test_community_xml(spark, tmp_path):
     assert cut == {(10, 1): [8.1, 8.2], (10, 2): [8.2, 8.3], (11, 1): [8.2, 8.2]}
 
 
+def test_character_references(spark):
+    cases = {
+        "M&#252;hlen&#x73;tra&#xDF;e": "Mühlenstraße", "&#128652; &#x1F68C;": "\U0001f68c \U0001f68c", "&lt;&gt;&quot;&apos;&amp;": "<>\"'&",
+        "&amp;#223;": "&#223;", "&#38;lt;": "&lt;", "&amp;amp;": "&amp;",  # decoded once
+        "A & B; C": "A & B; C", "&;": "&;", "&#;": "&#;", "&#0;": "&#0;", "&#xD800;": "&#xD800;", "&#x110000;": "&#x110000;", "&nbsp;": "&nbsp;", "&#65": "&#65",
+        "": "", "plain": "plain", None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.d for r in rows.select("t", files.decoded(F.col("t")).alias("d")).collect()} == cases
+
+
 def test_large_community_xml_is_divided(spark, tmp_path):
     """Whatever the splits, ways keep their nodes in order and their tags."""
     n = 3000
