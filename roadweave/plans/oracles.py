@@ -443,10 +443,8 @@ def sql() -> dict[str, str]:
     out["street_enrich"] = _q(AXES, "SELECT 'A' || num AS gml_id, istTeilVon, widmung, bezeichnung, name FROM ax LEFT JOIN street ON istTeilVon = gml")
     out["authority_assemble"] = _q(AUTH, "SELECT edge_id, gml_id, istTeilVon, widmung, bezeichnung, name, funktion, zustand FROM ae")
     out["tags_segments_join"] = _q(EDGES, "SELECT edge_id, osm_id, osm_id AS pgsql_osm_id, highway, oneway, name, ref, maxspeed FROM ce")
-    out["oneway_patch"] = (
-        "SELECT s.o_orderkey AS edge_id, CASE p.o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS fahrtrichtung FROM orders s LEFT JOIN"
-        " (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1) p ON p.o_custkey = s.o_orderkey"
-    )
+    patch = "SELECT o_custkey, CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS way FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1"
+    out["oneway_patch"] = f"SELECT s.o_orderkey AS edge_id, way AS fahrtrichtung FROM orders s LEFT JOIN ({patch}) p ON p.o_custkey = s.o_orderkey"
     out["tag_rules"] = (
         "SELECT o_orderkey AS way_id, 'highway' AS tag, 'service' AS value FROM orders UNION ALL SELECT o_orderkey, 'name', o_orderpriority FROM orders"
         " UNION ALL SELECT o_orderkey, 'source:maxspeed', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'notes', 'kept' FROM orders"
@@ -476,6 +474,12 @@ s AS (SELECT *, 1 + sum((uses > 1 AND rn > 1)::INT) OVER (PARTITION BY way ORDER
     )
     out["weights_community"] = _q(EDGES, f"SELECT edge_id, {_LEN} AS distance, {_SEC('w')} AS weights_car, {_SEC('wr')} AS weights_car_reverse FROM cw")
     out["weights_authority"] = _q(AUTH, f"SELECT edge_id, {_LEN} AS distance, v AS maxspeed, {_SEC('w')} AS weights_car, {_SEC('w')} AS weights_car_reverse FROM aw")
+    shut = lambda way: f"(CASE WHEN way IS {way} THEN -1 ELSE w / 100.0 END)::DECIMAL(8,2)"
+    out["weights_oneway"] = _q(
+        AUTH + f", patch AS ({patch})",
+        f"SELECT edge_id, way AS fahrtrichtung, {shut('NOT DISTINCT FROM false')} AS weights_car, {shut('NOT DISTINCT FROM true')} AS weights_car_reverse"
+        " FROM aw LEFT JOIN patch ON patch.o_custkey = aw.edge_id",
+    )
     out["extents"] = _q(AXES + _EXTENT, "SELECT 'authority' AS data_basis, xmin, ymin, xmax, ymax FROM ea UNION ALL SELECT 'community', xmin, ymin, xmax, ymax FROM ec")
 
     def inset(d, t):

@@ -79,13 +79,17 @@ def tags_segments_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select("edge_id", "osm_id", "pgsql_osm_id", "highway", "oneway", "name", "ref", "maxspeed")
 
 
-def oneway_patch(spark: SparkSession, d: str) -> DataFrame:
-    """Orders as patch entries for the segment numbered like their customer; the latest order wins."""
-    patch = N.table(spark, d, "orders").selectExpr(
+def _patch(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as patch entries for the edge numbered like their customer."""
+    return N.table(spark, d, "orders").selectExpr(
         "o_orderkey AS seq", "o_custkey AS edge_id",
         "CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END AS fahrtrichtung",
     )
-    return assemble.patch_oneway(N.community_segments(spark, d), patch).select("edge_id", "fahrtrichtung")
+
+
+def oneway_patch(spark: SparkSession, d: str) -> DataFrame:
+    """A patch of segments; the latest order wins."""
+    return assemble.patch_oneway(N.community_segments(spark, d), _patch(spark, d)).select("edge_id", "fahrtrichtung")
 
 
 def tag_rules(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +161,12 @@ def weights_authority(spark: SparkSession, d: str) -> DataFrame:
     return N.authority_weighted(spark, d).select("edge_id", "distance", "maxspeed", "weights_car", "weights_car_reverse")
 
 
+def weights_oneway(spark: SparkSession, d: str) -> DataFrame:
+    """Authority edges after a one-way patch: open both ways, along their line only, or against it only."""
+    edges = assemble.patch_oneway(weights.set_speed_authority(N.authority_network(spark, d)), _patch(spark, d))
+    return weights.set_weights(edges, weights.authority_profile()).select("edge_id", "fahrtrichtung", "weights_car", "weights_car_reverse")
+
+
 def network_completeness(spark: SparkSession, d: str) -> DataFrame:
     # measures need neither edge ids nor most tags, so no global sort and no wide rows in the shuffle
     community = N.community_network(spark, d, tags=["highway", "maxspeed", "name", "oneway", "ref"])
@@ -494,7 +504,7 @@ def upsert_rows(spark: SparkSession, d: str) -> DataFrame:
 REGISTRY = [
     network_completeness, car_filter, access_filter, explode_model, notin_null_aware, union_axes, street_enrich,
     authority_assemble, tags_segments_join, oneway_patch, tag_rules, segment_cut, address_points, edge_length,
-    speed_community, speed_authority, weights_community, weights_authority, extents, boxes_common, boxes_given,
+    speed_community, speed_authority, weights_community, weights_authority, weights_oneway, extents, boxes_common, boxes_given,
     bbox_filter, clip_length, reproject_4326, reproject_3857, topology_nodes, topology_edges, node_degree,
     dead_ends, isolated_edges, rings, crossings, gaps, topology_report, oneway_check, oneway_check_strict,
     serial_ids, sample_points, od_pairs, missing_points, next_route_id, nearest_edge, nearest_node, split_edges,

@@ -106,12 +106,13 @@ def _network(edges: DataFrame, oneway: bool) -> Network:
 
 def run(
     inputs: Inputs, box: tuple[float, float, float, float] | None = None, points: int = 1000, radius: float = 5.0, seed: str = "0",
-    road_inset: float = clip.ROAD_INSET, address_inset: float = clip.ADDRESS_INSET,
+    road_inset: float = clip.ROAD_INSET, address_inset: float = clip.ADDRESS_INSET, stored_points: DataFrame | None = None,
 ) -> Results:
     """Assemble, reproject, clip, link, measure, weight, sample, route and compare.
 
     Network measures are taken before missing speeds are filled in. Routes of the community network
-    pay for restricted turns; the authority data have no restrictions.
+    pay for restricted turns; the authority data have no restrictions. With `stored_points`, the points of
+    a run before, nothing new is drawn while that table holds rows: an error says so.
     """
     authority = _in_utm(assemble.assemble_authority(inputs.axes, inputs.carriageways, inputs.streets), "axes")
     ways = _in_utm(assemble.filter_car_roads(inputs.ways), "ways")
@@ -132,7 +133,7 @@ def run(
         "authority": lambda e: weights.set_weights(weights.set_speed_authority(e), weights.authority_profile()),
         "community": lambda e: weights.set_weights(weights.set_speed_community(e), weights.community_profile()),
     }
-    sample = pin(batch.sample_points(homes, points, seed))
+    sample = pin(batch.sample_points(homes, points, seed, stored_points))
     pairs = pin(batch.pair_points(sample))
 
     def route(kind: str):

@@ -152,6 +152,9 @@ def test_sampling_and_pairing(spark, monkeypatch):
         want = sorted((hashlib.md5(f"s:{i % 2500}".encode()).hexdigest(), i % 2500) for i in range(3000))[:n]
         assert [r.address_id for r in batch.sample_points(many, n, "s").orderBy("id").collect()] == [i for _, i in want]
     assert batch.sample_points(homes.limit(0), 0).count() == 0
+    with pytest.raises(ValueError, match="already holds rows"):
+        batch.sample_points(homes, 3, stored=homes)
+    assert batch.sample_points(homes, 3, "s", homes.limit(0)).count() == 3
     assert [tuple(r) for r in batch.pair_points(homes).orderBy("pair_id").collect()] == [(1, 0, 1), (2, 2, 3)]
     with pytest.raises(ValueError):
         batch.require_ids(spark.createDataFrame([(9,)], "start_id long"), homes, "start_id")
