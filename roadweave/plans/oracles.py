@@ -241,14 +241,14 @@ def _oneway(s_in, s_out, t_in, t_out) -> str:
 
 # ---------------------------------------------------------------- nearest, split
 
-def _near(edges: str) -> str:
-    """Best (dist, edge) of every address over all edges."""
+def _near(edges: str, seg: str = "1") -> str:
+    """Best (dist, edge, segment) of every address over all edges."""
     return f""",
 {_ADDR},
-cand AS (SELECT id, edge_id, t, {_AT('t', 'x')} AS qx, {_AT('t', 'y')} AS qy, x AS px, y AS py FROM (
-  SELECT addr.id, addr.x, addr.y, e.*, {_foot('addr.x', 'addr.y')['t']} AS t FROM addr, (SELECT edge_id, x1, y1, x2, y2 FROM {edges}) e)),
-best AS (SELECT id, min(struct_pack(d := sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)), e := edge_id, t := t, qx := qx, qy := qy)) AS b FROM cand GROUP BY id),
-near AS (SELECT id AS point_id, b.d AS dist, b.e AS edge_id, b.t AS t, b.qx AS qx, b.qy AS qy FROM best)"""
+cand AS (SELECT id, edge_id, seg_no, t, {_AT('t', 'x')} AS qx, {_AT('t', 'y')} AS qy, x AS px, y AS py FROM (
+  SELECT addr.id, addr.x, addr.y, e.*, {_foot('addr.x', 'addr.y')['t']} AS t FROM addr, (SELECT edge_id, {seg} AS seg_no, x1, y1, x2, y2 FROM {edges}) e)),
+best AS (SELECT id, min(struct_pack(d := sqrt((qx-px)*(qx-px)+(qy-py)*(qy-py)), e := edge_id, s := seg_no, t := t, qx := qx, qy := qy)) AS b FROM cand GROUP BY id),
+near AS MATERIALIZED (SELECT id AS point_id, b.d AS dist, b.e AS edge_id, b.s AS seg_no, b.t AS t, b.qx AS qx, b.qy AS qy FROM best)"""
 
 
 def _split() -> str:
@@ -272,11 +272,23 @@ m AS (SELECT *, sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) AS len FROM part)"""
 
 # ---------------------------------------------------------------- snapping
 
-def _snapped() -> str:
+def _net(kind: str) -> str:
+    """Edges for routing (net) and their straight pieces; an authority row listed twice by its model is one edge."""
+    if kind == "community":
+        return EDGES + """,
+net AS (SELECT edge_id, x1 AS xs, y1 AS ys, x2 AS xe, y2 AS ye, len4, w, wr, v, osm_id AS own FROM cw),
+piece AS (SELECT edge_id, 1 AS seg_no, x1, y1, x2, y2 FROM cw)"""
+    return AUTH + """,
+one AS MATERIALIZED (SELECT edge_id, ax1, ay1, ax2, ay2, ax3, ay3, len4, w, v, gml_id FROM aw QUALIFY row_number() OVER (PARTITION BY gml_id ORDER BY edge_id) = 1),
+net AS (SELECT edge_id, ax1 AS xs, ay1 AS ys, ax3 AS xe, ay3 AS ye, len4, w, w AS wr, v, gml_id AS own FROM one),
+piece AS (SELECT edge_id, 1 AS seg_no, ax1 AS x1, ay1 AS y1, ax2 AS x2, ay2 AS y2 FROM one UNION ALL SELECT edge_id, 2, ax2, ay2, ax3, ay3 FROM one)"""
+
+
+def _snapped(kind: str = "community") -> str:
     """Points take a node within 0.25 m of their foot point, or make one, one after the other in id order."""
     gap = lambda a, b: f"sqrt(pow({a}.qx - {b}.x, 2) + pow({a}.qy - {b}.y, 2))"
-    return EDGES + _near("cw") + f""",
-nd AS (SELECT x, y, min(k) AS node FROM (SELECT x1 AS x, y1 AS y, 2 * edge_id AS k FROM cw UNION ALL SELECT x2, y2, 2 * edge_id + 1 FROM cw) GROUP BY x, y),
+    return _net(kind) + _near("piece", "seg_no") + f""",
+nd AS (SELECT x, y, min(k) AS node FROM (SELECT xs AS x, ys AS y, 2 * edge_id AS k FROM net UNION ALL SELECT xe, ye, 2 * edge_id + 1 FROM net) GROUP BY x, y),
 above AS (SELECT max(node) + 1 AS n FROM nd),
 old AS (SELECT point_id, min({{'d': d, 'node': node}}) AS o FROM (SELECT near.point_id, nd.node, {gap("near", "nd")} AS d FROM near JOIN nd
   ON nd.x BETWEEN near.qx - 0.25 AND near.qx + 0.25 AND nd.y BETWEEN near.qy - 0.25 AND near.qy + 0.25) WHERE d <= 0.25 GROUP BY point_id),
@@ -303,8 +315,7 @@ def _snapped_points() -> str:
     )
 
 
-def _remapped() -> str:
-    ctes = _snapped() + """,
+_TURNS = """,
 top AS (SELECT max(edge_id) + 1 AS top FROM cw),
 cut AS (SELECT edge_id, arg_max(near.point_id, {'t': t, 'p': near.point_id}) AS lastcut FROM near JOIN mk USING (point_id) GROUP BY edge_id),
 part AS (SELECT cw.edge_id, lastcut IS NULL AS entire, coalesce(top + lastcut, cw.edge_id) AS lastpart, a.node AS s, b.node AS t
@@ -315,7 +326,102 @@ pairs AS (SELECT bans.f, bans.e, coalesce(pf.lastpart, bans.f) AS fl, coalesce(p
 turn AS (SELECT f, e FROM pairs WHERE entire OR f = e UNION SELECT fl, el FROM pairs WHERE NOT entire AND f = e
   UNION SELECT fl, e FROM pairs WHERE NOT entire AND f <> e AND ft = es UNION SELECT fl, el FROM pairs WHERE NOT entire AND f <> e AND ft = et
   UNION SELECT f, e FROM pairs WHERE NOT entire AND f <> e AND fs = es UNION SELECT f, el FROM pairs WHERE NOT entire AND f <> e AND fs = et)"""
-    return _q(ctes, "SELECT 10000.0::DOUBLE AS restriction_cost, e::BIGINT AS to_edge_id, f::BIGINT AS from_edge_id, NULL::VARCHAR AS via_path FROM turn", True)
+
+
+def _remapped() -> str:
+    return _q(_snapped() + _TURNS, "SELECT 10000.0::DOUBLE AS restriction_cost, e::BIGINT AS to_edge_id, f::BIGINT AS from_edge_id, NULL::VARCHAR AS via_path FROM turn", True)
+
+
+# ---------------------------------------------------------------- network after snapping, routes
+
+_PARTS = f""",
+above_edges AS (SELECT max(edge_id) + 1 AS m FROM net),
+hit AS (SELECT DISTINCT edge_id FROM near JOIN mk USING (point_id)),
+vert AS (SELECT edge_id, (seg_no - 1)::DOUBLE AS pos, NULL::BIGINT AS point_id, x1 AS x, y1 AS y FROM piece JOIN hit USING (edge_id)
+  UNION ALL SELECT edge_id, max(seg_no)::DOUBLE, NULL, arg_max(x2, seg_no), arg_max(y2, seg_no) FROM piece JOIN hit USING (edge_id) GROUP BY edge_id
+  UNION ALL SELECT edge_id, seg_no - 1 + t, near.point_id, qx, qy FROM near JOIN mk USING (point_id)),
+trail AS (SELECT *, count(point_id) OVER o AS k, lead(x) OVER o AS nx, lead(y) OVER o AS ny FROM vert
+  WINDOW o AS (PARTITION BY edge_id ORDER BY pos, point_id NULLS FIRST)),
+bit AS (SELECT edge_id, k, sum(sqrt((nx-x)*(nx-x)+(ny-y)*(ny-y)) ORDER BY pos) AS len, max(point_id) AS p FROM trail WHERE nx IS NOT NULL GROUP BY edge_id, k),
+cutp AS (SELECT *, lead(p) OVER (PARTITION BY edge_id ORDER BY k) AS q FROM bit),
+linked AS (SELECT net.*, a.node AS s, b.node AS e FROM net JOIN nd a ON a.x = xs AND a.y = ys JOIN nd b ON b.x = xe AND b.y = ye),
+road AS MATERIALIZED (
+  SELECT edge_id, edge_id AS orig, 1 AS part_no, s AS source, e AS target, {_LEN} AS distance, w::BIGINT AS w, wr::BIGINT AS wr, v, own
+  FROM linked WHERE edge_id NOT IN (SELECT edge_id FROM hit)
+  UNION ALL SELECT coalesce(m + p, l.edge_id), l.edge_id, k + 1, coalesce(n + p, s), coalesce(n + q, e), len::DECIMAL(9,4),
+    CASE WHEN w = -100 THEN w ELSE round(round(len * 3.6 / v, 2) * 100) END::BIGINT, CASE WHEN wr = -100 THEN wr ELSE round(round(len * 3.6 / v, 2) * 100) END::BIGINT, v, own
+  FROM cutp JOIN linked l USING (edge_id), above, above_edges)"""
+
+
+def _snapped_network() -> str:
+    return _q(
+        _snapped("authority") + _PARTS,
+        "SELECT edge_id, orig AS orig_edge_id, part_no::INTEGER AS part_no, source, target, distance,"
+        f" {_SEC('w')} AS weights_car, {_SEC('wr')} AS weights_car_reverse FROM road", True,
+    )
+
+
+def _routes(kind: str) -> str:
+    """Best way of every address pair (walk, from the goal back). A place is a node and, where a banned turn may follow, the edge just driven.
+
+    Only pairs in one weakly connected part are searched. Labels better than the best way found so far set out again until none is left.
+    """
+    bans = _TURNS if kind == "community" else ", turn AS (SELECT NULL::BIGINT AS f, NULL::BIGINT AS e WHERE false)"
+    return _snapped(kind) + _PARTS + bans + """,
+way AS (SELECT source AS f, target AS t, edge_id, 2 * edge_id AS arc, w AS c FROM road WHERE w >= 0
+  UNION ALL SELECT target, source, edge_id, 2 * edge_id + 1, wr FROM road WHERE wr >= 0),
+arcs AS MATERIALIZED (SELECT *, c * 68719476736 + ((arc % 1000003) * (arc % 1000003) % 1021 * (arc % 1000003) + 12345) % 1021 + 1 AS w,
+  CASE WHEN edge_id IN (SELECT f FROM turn) THEN edge_id ELSE -1 END AS e FROM way),
+hop AS MATERIALIZED (SELECT f, -1 AS e0, t, e AS e1, arc, c, w, 0 AS fine FROM arcs
+  UNION ALL SELECT a.f, d.e, a.t, a.e, a.arc, a.c, a.w + CASE WHEN turn.f IS NULL THEN 0 ELSE 1000000 * 68719476736 END, CASE WHEN turn.f IS NULL THEN 0 ELSE 1000000 END
+  FROM (SELECT DISTINCT e, t FROM arcs WHERE e >= 0) d JOIN arcs a ON a.f = d.t LEFT JOIN turn ON turn.f = d.e AND turn.e = a.edge_id),
+pr AS (SELECT c_custkey AS id, (row_number() OVER (ORDER BY c_custkey) - 1) // 2 + 1 AS pair_id FROM customer),
+pp AS (SELECT pair_id, min(id) AS start_id, max(id) AS dest_id FROM pr GROUP BY pair_id HAVING count(*) = 2),
+asked AS MATERIALIZED (SELECT pp.*, a.node_id AS s, b.node_id AS g FROM pp LEFT JOIN place a ON a.point_id = start_id LEFT JOIN place b ON b.point_id = dest_id),
+part_of(node, root) USING KEY (node) AS (
+  SELECT DISTINCT f, f FROM (SELECT f FROM arcs UNION ALL SELECT t FROM arcs)
+  UNION (SELECT k.node, k.root FROM (SELECT b.y AS node, min(l.root) AS root FROM part_of l JOIN (SELECT f AS x, t AS y FROM arcs UNION SELECT t, f FROM arcs) b ON b.x = l.node GROUP BY b.y) k
+    JOIN recurring.part_of r ON r.node = k.node AND k.root < r.root)),
+island AS MATERIALIZED (SELECT * FROM part_of),
+lab(pair_id, node, e, g, b) USING KEY (pair_id, node, e) AS (
+  SELECT pair_id, s, -1::BIGINT, g, {'key': 0::BIGINT, 'arc': -1::BIGINT, 'pe': -1::BIGINT} FROM asked
+    JOIN island i ON i.node = s JOIN island j ON j.node = g WHERE s <> g AND i.root = j.root
+  UNION (SELECT k.pair_id, k.node, k.e, k.g, k.b FROM (
+    SELECT l.pair_id, h.t AS node, h.e1::BIGINT AS e, l.g, min({'key': (l.b.key + h.w)::BIGINT, 'arc': h.arc::BIGINT, 'pe': l.e}) AS b
+    FROM lab l JOIN hop h ON h.f = l.node AND h.e0 = l.e GROUP BY ALL) k
+    LEFT JOIN recurring.lab r ON r.pair_id = k.pair_id AND r.node = k.node AND r.e = k.e
+    LEFT JOIN (SELECT pair_id, min(b.key) AS key FROM recurring.lab WHERE node = g GROUP BY pair_id) z ON z.pair_id = k.pair_id
+    WHERE (r.b IS NULL OR k.b < r.b) AND (z.key IS NULL OR k.b.key <= z.key))),
+told AS MATERIALIZED (SELECT * FROM lab),
+way_best AS MATERIALIZED (SELECT pair_id, min({'key': b.key, 'e': e, 'b': b}) AS m FROM told WHERE node = g GROUP BY pair_id)"""
+
+
+def _route_status() -> str:
+    one = lambda k: _q(
+        _routes(k),
+        "SELECT pair_id, CASE WHEN s IS NULL OR g IS NULL THEN 'no_node' WHEN s = g THEN 'same_node' WHEN m IS NULL THEN 'not_found' ELSE 'found' END AS status,"
+        f" ((m.key >> 36) / 100.0)::DECIMAL(12,2) AS total_cost, '{k}' AS data_basis FROM asked LEFT JOIN way_best USING (pair_id)", True,
+    )
+    return f"SELECT * FROM ({one('authority')}) UNION ALL SELECT * FROM ({one('community')})"
+
+
+def _route_steps(kind: str) -> str:
+    own, speed, penalty = ("osm_id", "VARCHAR", ", (fine / 100.0)::DECIMAL(8,2) AS penalty") if kind == "community" else ("gml_id", "INTEGER", "")
+    ctes = _routes(kind) + """,
+walk(pair_id, depth, arc, e0) AS (SELECT pair_id, 0, m.b.arc, m.b.pe FROM way_best
+  UNION ALL SELECT w.pair_id, depth + 1, l.b.arc, l.b.pe FROM walk w JOIN arcs a ON a.arc = w.arc JOIN told l ON l.pair_id = w.pair_id AND l.node = a.f AND l.e = w.e0
+  WHERE l.b.arc >= 0),
+steps AS (SELECT pair_id, -depth AS pos, h.f AS node_id, h.arc // 2 AS edge_id, h.arc % 2 = 1 AS backward, h.c + h.fine AS cs, h.fine FROM walk JOIN hop h USING (arc, e0)
+  UNION ALL SELECT pair_id, 1, g, -1, NULL, 0, 0 FROM asked JOIN way_best USING (pair_id)),
+full_steps AS (SELECT *, row_number() OVER o AS seq, count(*) OVER (PARTITION BY pair_id) AS n, sum(cs) OVER o - cs AS before FROM steps WINDOW o AS (PARTITION BY pair_id ORDER BY pos)),
+spots AS (SELECT point_id, sqrt(pow(addr.x - spot.x, 2) + pow(addr.y - spot.y, 2))::DECIMAL(9,4) AS hook FROM place JOIN spot USING (node_id) JOIN addr ON addr.id = point_id),
+hooked AS (SELECT f.*, CASE WHEN seq = f.n THEN dest_id WHEN seq = 1 THEN start_id END AS od_point_id FROM full_steps f JOIN asked USING (pair_id))"""
+    return _q(
+        ctes,
+        f"SELECT pair_id, h.edge_id::BIGINT AS edge_id, seq::INTEGER AS seq, h.node_id, backward, (cs / 100.0)::DECIMAL(12,2) AS cost, (before / 100.0)::DECIMAL(12,2) AS agg_cost{penalty},"
+        f" source, target, distance, v::{speed} AS maxspeed, {_SEC('w')} AS weights_car, {_SEC('wr')} AS weights_car_reverse, own AS {own}, hook AS hook_length, od_point_id"
+        " FROM hooked h LEFT JOIN road USING (edge_id) LEFT JOIN spots ON point_id = od_point_id", True,
+    )
 
 
 # ---------------------------------------------------------------- catchment
@@ -547,6 +653,10 @@ nn AS (SELECT point_id, min(struct_pack(d := sqrt((x-qx)*(x-qx)+(y-qy)*(y-qy)),
     out["split_edges"] = _split()
     out["snapped_points"] = _snapped_points()
     out["restriction_remap"] = _remapped()
+    out["snapped_network"] = _snapped_network()
+    out["route_steps"] = _route_steps("authority")
+    out["turn_route_steps"] = _route_steps("community")
+    out["route_status"] = _route_status()
     out["catchment_community"] = _catchment("community")
     out["catchment_authority"] = _catchment("authority")
     out["catchment_both"] = _catchment_both()
