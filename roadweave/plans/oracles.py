@@ -361,10 +361,24 @@ def _snapped_network() -> str:
     )
 
 
+def _labels(p: str, limit: str, which: str) -> str:
+    """Best keys (told) of the pairs asked for, as far as they keep within the limit; k is the pair and the vertex in one number."""
+    return f""",
+{p}lab(k, key) USING KEY (k) AS (
+  SELECT pair_id * 16777216 + s.v, 0::BIGINT FROM asked JOIN vx s ON s.node = asked.s AND s.e = -1
+    JOIN island i ON i.node = asked.s JOIN island j ON j.node = g WHERE asked.s <> g AND i.root = j.root AND {which}
+  UNION (SELECT n.k, n.key FROM (
+    SELECT l.k - h.f + h.t AS k, min(l.key + h.w) AS key FROM {p}lab l JOIN hop h ON h.f = l.k % 16777216 GROUP BY 1) n
+    LEFT JOIN recurring.{p}lab r ON r.k = n.k
+    LEFT JOIN (SELECT pair_id, min(key) AS top FROM recurring.{p}lab JOIN goals USING (k) GROUP BY pair_id) z ON z.pair_id = n.k // 16777216
+    WHERE (r.key IS NULL OR n.key < r.key) AND (z.top IS NULL OR n.key <= z.top) AND {limit})),
+{p}told AS MATERIALIZED (SELECT k, k // 16777216 AS pair_id, k % 16777216 AS v, key FROM {p}lab)"""
+
+
 def _routes(kind: str) -> str:
     """Best way of every address pair (walk, from the goal back). A place is a node and, where a banned turn may follow, the edge just driven.
 
-    Only pairs in one weakly connected part are searched. Labels better than the best way found so far set out again until none is left.
+    Only pairs in one weakly connected part are searched, first within 300 s, then the others without a limit. Labels better than the best way found so far set out again until none is left.
     """
     bans = _TURNS if kind == "community" else ", turn AS (SELECT NULL::BIGINT AS f, NULL::BIGINT AS e WHERE false)"
     return _snapped(kind) + _PARTS + bans + """,
@@ -372,9 +386,11 @@ way AS (SELECT source AS f, target AS t, edge_id, 2 * edge_id AS arc, w AS c FRO
   UNION ALL SELECT target, source, edge_id, 2 * edge_id + 1, wr FROM road WHERE wr >= 0),
 arcs AS MATERIALIZED (SELECT *, c * 68719476736 + ((arc % 1000003) * (arc % 1000003) % 1021 * (arc % 1000003) + 12345) % 1021 + 1 AS w,
   CASE WHEN edge_id IN (SELECT f FROM turn) THEN edge_id ELSE -1 END AS e FROM way),
-hop AS MATERIALIZED (SELECT f, -1 AS e0, t, e AS e1, arc, c, w, 0 AS fine FROM arcs
+turns AS (SELECT f, -1 AS e0, t, e AS e1, arc, c, w, 0 AS fine FROM arcs
   UNION ALL SELECT a.f, d.e, a.t, a.e, a.arc, a.c, a.w + CASE WHEN turn.f IS NULL THEN 0 ELSE 1000000 * 68719476736 END, CASE WHEN turn.f IS NULL THEN 0 ELSE 1000000 END
   FROM (SELECT DISTINCT e, t FROM arcs WHERE e >= 0) d JOIN arcs a ON a.f = d.t LEFT JOIN turn ON turn.f = d.e AND turn.e = a.edge_id),
+vx AS MATERIALIZED (SELECT node, e, row_number() OVER (ORDER BY node, e) AS v FROM (SELECT f AS node, -1 AS e FROM arcs UNION SELECT t, -1 FROM arcs UNION SELECT t, e FROM arcs)),
+hop AS MATERIALIZED (SELECT a.v AS f, b.v AS t, arc, c, w, fine, turns.f AS tail FROM turns JOIN vx a ON a.node = turns.f AND a.e = e0 JOIN vx b ON b.node = turns.t AND b.e = e1),
 pr AS (SELECT c_custkey AS id, (row_number() OVER (ORDER BY c_custkey) - 1) // 2 + 1 AS pair_id FROM customer),
 pp AS (SELECT pair_id, min(id) AS start_id, max(id) AS dest_id FROM pr GROUP BY pair_id HAVING count(*) = 2),
 asked AS MATERIALIZED (SELECT pp.*, a.node_id AS s, b.node_id AS g FROM pp LEFT JOIN place a ON a.point_id = start_id LEFT JOIN place b ON b.point_id = dest_id),
@@ -383,17 +399,10 @@ part_of(node, root) USING KEY (node) AS (
   UNION (SELECT k.node, k.root FROM (SELECT b.y AS node, min(l.root) AS root FROM part_of l JOIN (SELECT f AS x, t AS y FROM arcs UNION SELECT t, f FROM arcs) b ON b.x = l.node GROUP BY b.y) k
     JOIN recurring.part_of r ON r.node = k.node AND k.root < r.root)),
 island AS MATERIALIZED (SELECT * FROM part_of),
-lab(pair_id, node, e, g, b) USING KEY (pair_id, node, e) AS (
-  SELECT pair_id, s, -1::BIGINT, g, {'key': 0::BIGINT, 'arc': -1::BIGINT, 'pe': -1::BIGINT} FROM asked
-    JOIN island i ON i.node = s JOIN island j ON j.node = g WHERE s <> g AND i.root = j.root
-  UNION (SELECT k.pair_id, k.node, k.e, k.g, k.b FROM (
-    SELECT l.pair_id, h.t AS node, h.e1::BIGINT AS e, l.g, min({'key': (l.b.key + h.w)::BIGINT, 'arc': h.arc::BIGINT, 'pe': l.e}) AS b
-    FROM lab l JOIN hop h ON h.f = l.node AND h.e0 = l.e GROUP BY ALL) k
-    LEFT JOIN recurring.lab r ON r.pair_id = k.pair_id AND r.node = k.node AND r.e = k.e
-    LEFT JOIN (SELECT pair_id, min(b.key) AS key FROM recurring.lab WHERE node = g GROUP BY pair_id) z ON z.pair_id = k.pair_id
-    WHERE (r.b IS NULL OR k.b < r.b) AND (z.key IS NULL OR k.b.key <= z.key))),
-told AS MATERIALIZED (SELECT * FROM lab),
-way_best AS MATERIALIZED (SELECT pair_id, min({'key': b.key, 'e': e, 'b': b}) AS m FROM told WHERE node = g GROUP BY pair_id)"""
+goals AS MATERIALIZED (SELECT pair_id, pair_id * 16777216 + v AS k FROM asked JOIN vx ON node = g)""" + _labels("near_", "n.key < 300 * 6871947673600", "true") + _labels(
+        "far_", "true", "pair_id NOT IN (SELECT goals.pair_id FROM near_told JOIN goals USING (k))") + """,
+told AS MATERIALIZED (SELECT near_told.* FROM near_told SEMI JOIN (SELECT goals.pair_id FROM near_told JOIN goals USING (k)) USING (pair_id) UNION ALL SELECT * FROM far_told),
+way_best AS MATERIALIZED (SELECT goals.pair_id, min({'key': key, 'v': v}) AS m FROM told JOIN goals USING (k) GROUP BY ALL)"""
 
 
 def _route_status() -> str:
@@ -408,10 +417,12 @@ def _route_status() -> str:
 def _route_steps(kind: str) -> str:
     own, speed, penalty = ("osm_id", "VARCHAR", ", (fine / 100.0)::DECIMAL(8,2) AS penalty") if kind == "community" else ("gml_id", "INTEGER", "")
     ctes = _routes(kind) + """,
-walk(pair_id, depth, arc, e0) AS (SELECT pair_id, 0, m.b.arc, m.b.pe FROM way_best
-  UNION ALL SELECT w.pair_id, depth + 1, l.b.arc, l.b.pe FROM walk w JOIN arcs a ON a.arc = w.arc JOIN told l ON l.pair_id = w.pair_id AND l.node = a.f AND l.e = w.e0
-  WHERE l.b.arc >= 0),
-steps AS (SELECT pair_id, -depth AS pos, h.f AS node_id, h.arc // 2 AS edge_id, h.arc % 2 = 1 AS backward, h.c + h.fine AS cs, h.fine FROM walk JOIN hop h USING (arc, e0)
+into_arc AS MATERIALIZED (SELECT b.pair_id, b.v, min({'arc': h.arc, 'f': h.f}) AS m FROM told b JOIN hop h ON h.t = b.v
+  JOIN told a ON a.k = b.k - h.t + h.f AND a.key + h.w = b.key GROUP BY ALL),
+walk(pair_id, depth, v) AS (SELECT pair_id, 0, m.v FROM way_best
+  UNION ALL SELECT w.pair_id, depth + 1, x.m.f FROM walk w JOIN into_arc x ON x.pair_id = w.pair_id AND x.v = w.v),
+steps AS (SELECT w.pair_id, -depth AS pos, h.tail AS node_id, h.arc // 2 AS edge_id, h.arc % 2 = 1 AS backward, h.c + h.fine AS cs, h.fine
+  FROM walk w JOIN into_arc x ON x.pair_id = w.pair_id AND x.v = w.v JOIN hop h ON h.arc = x.m.arc AND h.f = x.m.f
   UNION ALL SELECT pair_id, 1, g, -1, NULL, 0, 0 FROM asked JOIN way_best USING (pair_id)),
 full_steps AS (SELECT *, row_number() OVER o AS seq, count(*) OVER (PARTITION BY pair_id) AS n, sum(cs) OVER o - cs AS before FROM steps WINDOW o AS (PARTITION BY pair_id ORDER BY pos)),
 spots AS (SELECT point_id, sqrt(pow(addr.x - spot.x, 2) + pow(addr.y - spot.y, 2))::DECIMAL(9,4) AS hook FROM place JOIN spot USING (node_id) JOIN addr ON addr.id = point_id),
