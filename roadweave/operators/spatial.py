@@ -84,7 +84,7 @@ def refine_crowded(tiles: DataFrame, size: float, crowd: int) -> DataFrame:
 # ---------------------------------------------------------------- merging points
 
 
-def merge_points(points: DataFrame, radius: float) -> DataFrame:
+def merge_points(points: DataFrame, radius: float, by_id: bool = True) -> DataFrame:
     """Which points become nodes when points arrive in the order of `pid` and a point within `radius`
     of an earlier node takes the nearest such node instead of becoming one.
 
@@ -92,9 +92,13 @@ def merge_points(points: DataFrame, radius: float) -> DataFrame:
     the pid of the point that made the node. Same outcome as the one-by-one rule, found in parallel:
     a point that is the smallest undecided one in all cells it can reach becomes a node, its
     neighbours drop out, and so on. Copies of one place are collapsed first.
+
+    With by_id=False a hash of the place decides in place of the id, so that a long chain of near points takes rounds by the
+    logarithm of its length; every point takes the nearest node, and node_id is the lowest pid at the node.
     """
     size = 8 * radius
     places = points.groupBy("x", "y").agg(F.min("pid").alias("rid"))
+    rank = F.col("rid") if by_id else F.xxhash64("x", "y", "rid")
     visits = places.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), radius, size)))
     crowded_cells = (
         visits.groupBy(*CELL).agg(F.min("rid").alias("_lo"), F.max("rid").alias("_hi")).filter("_lo <> _hi")
@@ -107,38 +111,43 @@ def merge_points(points: DataFrame, radius: float) -> DataFrame:
     undecided, nodes = crowded, None
     reach = lambda df: df.select("*", F.inline(cells_in_reach(F.col("x"), F.col("y"), radius, size)))
     while not undecided.isEmpty():
-        seen = reach(undecided)
-        first = seen.groupBy(*CELL).agg(F.min("rid").alias("_first"))
+        seen = reach(undecided.withColumn("rank", rank))
+        first = seen.groupBy(*CELL).agg(F.min("rank").alias("_first"))
         fresh = pin(
             seen.join(first, CELL)
-            .groupBy("rid", "x", "y")
+            .groupBy("rid", "x", "y", "rank")
             .agg(F.min("_first").alias("_first"))
-            .filter("_first = rid")
-            .drop("_first")
+            .filter("_first = rank")
+            .drop("_first", "rank")
         )
         nodes = fresh if nodes is None else nodes.unionByName(fresh)
-        taken = _near(seen, fresh, radius, size).select("rid").distinct()
+        taken = _near(seen, fresh, radius, size, by_id).select("rid").distinct()
         undecided = pin(
             undecided.join(fresh.select("rid"), "rid", "left_anti").join(taken, "rid", "left_anti")
         )
     followers = reach(crowded.join(nodes.select("rid"), "rid", "left_anti"))
     follow = (
-        _near(followers, nodes, radius, size)
+        _near(followers, nodes, radius, size, by_id)
         .groupBy("rid", "x", "y")
         .agg(F.min(F.struct("_d", "_node", "_nx", "_ny")).alias("_best"))
         .select("x", "y", *[F.col(f"_best.{a}").alias(b) for a, b in (("_node", "node_id"), ("_nx", "node_x"), ("_ny", "node_y"))])
     )
     lonely = places.join(crowded.select("rid"), "rid", "left_anti")
-    return reduce(DataFrame.unionByName, [own(lonely), own(nodes), follow])
+    if by_id:
+        return reduce(DataFrame.unionByName, [own(lonely), own(nodes), follow])
+    merged = pin(own(nodes).unionByName(follow))
+    lowest = merged.join(crowded, ["x", "y"]).groupBy("node_id").agg(F.min("rid").alias("_lowest"))
+    named = merged.join(lowest, "node_id").withColumn("node_id", F.col("_lowest")).drop("_lowest")
+    return own(lonely).unionByName(named)
 
 
-def _near(visits: DataFrame, nodes: DataFrame, radius: float, size: float) -> DataFrame:
-    """Pairs of a visiting point and an earlier node within the radius; a node sits in one cell only."""
+def _near(visits: DataFrame, nodes: DataFrame, radius: float, size: float, by_id: bool = True) -> DataFrame:
+    """Pairs of a visiting point and a node within the radius, an earlier one by id; a node sits in one cell only."""
     made = home_cell(nodes.select(F.col("rid").alias("_node"), F.col("x").alias("_nx"), F.col("y").alias("_ny")), size, "_nx", "_ny")
     return (
         visits.join(made, CELL)
         .withColumn("_d", distance(F.col("x"), F.col("y"), F.col("_nx"), F.col("_ny")))
-        .filter((F.col("_d") <= radius) & (F.col("_node") < F.col("rid")))
+        .filter((F.col("_d") <= radius) & (F.col("_node") < F.col("rid") if by_id else F.col("_node") != F.col("rid")))
     )
 
 

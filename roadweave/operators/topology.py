@@ -26,11 +26,11 @@ def edge_ends(edges: DataFrame) -> DataFrame:
 def build_topology(edges: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, DataFrame]:
     """edges (edge_id, pts, …) → (edges with source and target, nodes (node_id, x, y, cnt)).
 
-    Ends within the tolerance share a node. A node is named after the lowest end that made it, so its
+    Ends within the tolerance of a node share it; no two nodes are that near. A node is named after its lowest end, so its
     id needs no global numbering and does not depend on partitioning. Edges without a line keep NULLs.
     """
     ends = edge_ends(edges)
-    at_node = ends.join(merge_points(ends, tolerance), ["x", "y"])
+    at_node = ends.join(merge_points(ends, tolerance, by_id=False), ["x", "y"])
     side = lambda n: F.max(F.when(F.col("pid") % 2 == n, F.col("node_id")))
     linked = at_node.groupBy("edge_id").agg(side(0).alias("source"), side(1).alias("target"))
     nodes = at_node.groupBy("node_id").agg(

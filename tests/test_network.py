@@ -135,6 +135,25 @@ def test_merging_equals_the_one_by_one_rule(spark, radius):
     assert {(r.x, r.y): r.node_id for r in got} == want
 
 
+def test_long_chains_merge_in_few_rounds(spark, monkeypatch):
+    """Ten thousand points 0.9 radius apart: nodes keep their distance, every point has one in reach, named by its lowest point."""
+    rounds = []
+    pin = spatial.pin
+    monkeypatch.setattr(spatial, "pin", lambda df: rounds.append(1) or pin(df))
+    chain = spark.range(10_000).selectExpr("id AS pid", "id * 0.9D AS x", "0D AS y")
+    got = spatial.merge_points(chain, 1.0, by_id=False).collect()
+    assert len(rounds) <= 2 * 20 + 2  # two for each round, two for all
+    assert len(got) == 10_000 and all(abs(r.x - r.node_x) <= 1 for r in got)
+    nodes = {r.node_id: r.node_x for r in got}
+    places = sorted(nodes.values())
+    assert all(b - a > 1 for a, b in zip(places, places[1:]))
+    lowest = {}
+    for r in got:
+        pid = round(r.x / 0.9)
+        lowest[r.node_id] = min(pid, lowest.get(r.node_id, pid))
+    assert all(k == v for k, v in lowest.items())
+
+
 def test_topology_tolerance_and_missing_lines(spark):
     rows = [(1, [(0, 0), (10, 0)]), (2, [(10.000004, 0), (20, 0)]), (3, [(10.1, 0), (10.1, 9)])]
     edges = lines(spark, rows).unionByName(spark.createDataFrame([(4, None)], f"edge_id long, pts {LINE}"))

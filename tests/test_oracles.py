@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from compare_oracle import connect, difference
 
 SF = "/root/testdata/sf0.001"
-# 150 customers are enough for every query; routes have no SQL and are tested in test_paths
+# 150 customers are enough for every query
 SQL = entry.oracle_sql()
 
 
