@@ -169,7 +169,8 @@ def runs_of(texts: list[list[bytes]], least: int = 4, shortest: int = 6) -> list
         first, last, q = np.concatenate(found, axis=1)
         order = np.lexsort((q, last, first))  # of several periods of a stretch the smallest counts
         first, last, q = first[order], last[order], q[order]
-        new = np.concatenate(([True], (first[1:] != first[:-1]) | (last[1:] != last[:-1])))
+        new = np.ones(len(first), bool)  # there may be candidates and no run at all
+        new[1:] = (first[1:] != first[:-1]) | (last[1:] != last[:-1])
         first, last, q = first[new], last[new], q[new]
         order = np.lexsort((q, first))
         doc = np.searchsorted(begin, first, "right") - 1

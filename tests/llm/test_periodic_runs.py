@@ -43,6 +43,12 @@ def test_runs_against_brute_force():
     assert periodic_runs.runs_of(found) == [brute(w) for w in found]
 
 
+def test_candidates_without_any_run():
+    """Five equal words are a candidate for period 1, too short for a run; nothing else is in the chunk."""
+    assert periodic_runs.runs_of([[b"a"] * 5]) == [[]]
+    assert periodic_runs.runs_of([[b"x"], [b"a"] * 4, []]) == [[], [], []]
+
+
 def test_extensions_in_both_directions():
     rng = random.Random(2)
     w = [-1, *[rng.randrange(2) for _ in range(300)], -2, *([1, 0, 0] * 60), -3]
