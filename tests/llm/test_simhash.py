@@ -92,3 +92,21 @@ def test_one_of_each_keeps_rows_whole(spark, tmp_path):
     assert got.columns == ["doc_id", "text", "_row"]
     assert sorted((r.doc_id or 0, r._row if r.doc_id != 2 else "") for r in got.collect()) == [(0, "n"), (2, ""), (5, "l")]
     assert simhash.one_of_each(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_tables_of_many_rows_are_not_broadcast_however_small_their_files(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from roadweave import session
+
+    monkeypatch.setattr(session, "MANY_ROWS", 1000)
+
+    def joined(n):
+        wide = spark.range(n).select("id", *[F.lit(None).cast("string").alias(f"t{i}") for i in range(30)])
+        other = spark.range(3000).select("id", F.lit("x").alias("v")).repartition(3)
+        table = session.pin_table(wide)
+        return other.join(table.select("id"), "id"), other.join(table.where("id >= 0").groupBy("id").count(), "id")
+
+    for df, size in [(f, n) for n in (5, 2000) for f in joined(n)]:
+        assert df.count() == size
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert ("Broadcast" in plan) == (size == 5), plan
