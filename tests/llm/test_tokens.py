@@ -103,3 +103,21 @@ def test_separators_across_blocks(spark, tmp_path):
     for size in (1, 2, 3, 100):
         got = {(r.path.split("/")[-1][0], r.nth, r.start, r.n_tokens, r.closed) for r in token_counts.document_lengths(spark, str(tmp_path), block_tokens=size).collect()}
         assert got == want
+
+
+def test_words_looked_up_by_the_model_alone_and_over_generations(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 40)
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    pieces = ["word", "Straße", "naïve", "x1", "it's", "###", "end.", "two,", "é.", ".,", "1.", "日本", "<|endoftext|>", "a\0b", "\x1c", "a\x85b", "🙂", "ǅ."]
+    rng = random.Random(5)
+    texts = ["", " ", "\n", " a", "a ", "a\n", "a\n\nb", "a  b", "a　b c", "\0"]
+    texts += [rng.choice([" ", "\n"]).join(rng.choices(pieces, k=rng.randrange(1, 9))) for _ in range(400)]
+    encode = tokens.Encoder(PATH)
+    for at in range(0, len(texts), 7):
+        some = texts[at : at + 7]
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(some)] == [whole.encode(t, add_special_tokens=False).ids for t in some]
+        # the cache holds two generations at most: no batch here brings more than a few dozen new words
+        assert len(encode.known) < 200 and len(encode.before) < 200
