@@ -1,59 +1,5 @@
-"""Connected components of an edge table, without any node's neighbours in one task."""
+"""Connected components: the operator of the road networks, which needs nothing of the corpus operators."""
 
-from __future__ import annotations
+from roadweave.operators.components import connected_components
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from roadweave.session import pin_table
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of one batch replaced by stars with the same components (at most one edge per node)."""
-    for batch in batches:
-        up: dict[int, int] = {}
-
-        def root(x: int, up=up) -> int:
-            while (p := up.setdefault(x, x)) != x:
-                up[x] = x = up[p]
-            return x
-
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                up[max(a, b)] = min(a, b)
-        stars = [(x, root(x)) for x in up]
-        stars = [(x, r) for x, r in stars if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], pa.int64()) for i in (0, 1)], names=["u", "v"])
-
-
-def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
-    """(node, root) for every node that has a link to another one; root is the smallest long of its component.
-
-    Each batch of edges is first thinned to a forest. Then large-star and small-star steps alternate until
-    nothing changes: a step is a minimum per node (partial aggregation) and an equi join. Minima are written as tables
-    before they are joined: only then does Spark split hot keys of the other side, and each is computed once. Null ends
-    and loops are ignored; no edges give no rows.
-    """
-
-    def step(links: DataFrame, near: DataFrame) -> DataFrame:
-        return links.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-
-    pairs = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u != v")
-    links = pin_table(pairs.mapInArrow(_forest, "u long, v long").distinct())
-    state = None
-    while True:
-        both = links.unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = pin_table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = pin_table(step(both.where("v > u"), least).unionAll(least.where("u != m")).distinct())
-        least = pin_table(large.groupBy("u").agg(F.min("v").alias("m")))
-        links = pin_table(step(large, least).unionAll(least).distinct())
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(
-                links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        state = now
+__all__ = ["connected_components"]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadweave.llm.common import arrow_rows, text_bytes, words
-from roadweave.llm.components import connected_components
+from roadweave.operators.components import connected_components
 from roadweave.session import pin_table
 
 BITS, SEED, STEP = 64, 42, 1 << 16
