@@ -273,3 +273,14 @@ def test_boxes(spark):
 def test_line_length(spark):
     df = lines(spark, [(1, [(0, 0), (3, 4), (3, 10)]), (2, [(5, 5)])])
     assert [r[0] for r in df.orderBy("edge_id").select(line_length(F.col("pts"))).collect()] == [11.0, 0.0]
+
+
+def test_places_alone_are_moved_once(spark):
+    """Places on round coordinates go to one cell each, and near ones are told from those that are alone."""
+    from roadweave.operators import spatial
+
+    rows = [(10 * i, 430000.0 + 100 * i, 5930000.0) for i in range(50)]
+    near = [(1, 430000.00001, 5930000.0), (2, 430100.0, 5929999.999995), (3, 430300.000003, 5930000.000004)]
+    places = spark.createDataFrame(rows + near, "rid long, x double, y double")
+    got = {r.rid for r in spatial._crowded(places, 0.00001).collect()}
+    assert got == {0, 1, 10, 2, 30, 3}
