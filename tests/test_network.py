@@ -198,6 +198,36 @@ def test_nearest_edge_of_far_points(spark, monkeypatch):
     assert looked[-1] < 400, looked
 
 
+def test_hits_that_cannot_be_final_are_not_sorted(spark):
+    """All segments within a cell width of a point go on, and none whose envelope is farther; a missing distance stays."""
+    rnd = random.Random(6)
+    edges = {e: [(rnd.uniform(0, 300), rnd.uniform(0, 300)) for _ in range(2)] for e in range(60)}
+    points = {k: (rnd.uniform(0, 300), rnd.uniform(0, 300)) for k in range(40)}
+    segs = spatial.segments(lines(spark, list(edges.items())), ["edge_id"])
+    torn = spark.createDataFrame([(99, 1, 5.0, None, 6.0, 7.0)], segs.schema)
+    frame = spark.createDataFrame([(k, *p) for k, p in points.items()] + [(50, 4.0, 4.0)], "point_id long, x double, y double")
+    got = {(r.point_id, r.edge_id): r.dist for r in spatial._hits_in_reach(frame, segs.unionByName(torn), 20.0, []).collect()}
+    assert got.pop((50, 99), 0) is None
+    dist = {(k, e): foot(p, *pts)[2] for k, p in points.items() for e, pts in edges.items()}
+    gap = lambda v, a, b: max(min(a, b) - v, v - max(a, b), 0)
+    apart = lambda p, a, b: max(gap(p[0], a[0], b[0]), gap(p[1], a[1], b[1]))
+    kept = {pair: d for pair, d in got.items() if pair in dist}
+    assert kept.keys() >= {pair for pair, d in dist.items() if d <= 20}
+    assert all(apart(points[k], *edges[e]) <= 20.2 and abs(d - dist[k, e]) < 1e-9 for (k, e), d in kept.items())
+
+
+@pytest.mark.parametrize("crowd", [0, 3, 12, 1000])
+def test_crowded_cells_by_blocks_equal_a_count_of_all(spark, crowd):
+    rnd = random.Random(7)
+    rows = [(k % 2, k, 1, *[rnd.gauss(0, 60) for _ in range(4)]) for k in range(300)]
+    segs = spark.createDataFrame(rows, "kind long, edge_id long, seg_no int, x1 double, y1 double, x2 double, y2 double")
+    counts = spatial.tile_segments(segs, 8.0).groupBy("kind", "ix", "iy").count().collect()
+    want = sorted((r.kind, r.ix, r.iy) for r in counts if r["count"] > crowd)
+    got = spatial._crowded_cells(segs, 8.0, ["kind"], crowd)
+    assert got.columns == ["kind", "ix", "iy"] and sorted(map(tuple, got.collect())) == want
+    assert (crowd == 1000) == (not want)
+
+
 def test_nearest_edge_of_nothing(spark):
     none = spark.createDataFrame([], f"edge_id long, pts {LINE}")
     got = spatial.nearest_edge(spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, x double, y double"), none).collect()
